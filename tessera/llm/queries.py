@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tessera.llm.records import op10_record_files
 from tessera.llm.sharding import op6_jump_shards
+from tessera.llm.token_counts import op7_token_counts
 
 QUERIES = {
     "op6_jump_shards": op6_jump_shards,
+    "op7_token_counts": op7_token_counts,
+    "op10_record_files": op10_record_files,
 }
 
 ORACLE_SQL: dict[str, str] = {}
