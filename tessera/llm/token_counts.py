@@ -23,7 +23,7 @@ from tessera.llm.common import table
 from tessera.llm.token_ids import distinct_words, drops_white_space, load_tokenizer, slices, vocabulary_path
 
 _NONE = np.int64(1 << 40)
-_REMEMBERED = 1_000_000
+_REMEMBERED = 700_000
 
 
 class RankMerger:

@@ -20,7 +20,7 @@ _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WORD_STEPS = ["NFC", "Replace", "Lowercase"]
 
 #: Words that a worker remembers before it starts anew.
-_REMEMBERED = 1_000_000
+_REMEMBERED = 700_000
 
 #: Words that the library encodes as one text.
 _RUN = 50
