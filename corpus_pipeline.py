@@ -1,16 +1,77 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return
+documents, with whatever columns the input has; the last returns packed pieces.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-#: The stages keep state and models that SQL cannot express; tests hold them against brute force.
-ORACLE_SQL = None
+from tessera.llm.common import stored, table
+from tessera.llm.decontamination import without_leaks
+from tessera.llm.near_dup import near_duplicates
+from tessera.llm.packing import pack
+from tessera.llm.quality import judge, language_references
+from tessera.llm.secrets import redact_secrets
+
+
+def _whole(docs: DataFrame) -> F.Column:
+    """A row as one column, so that no name in it can clash with an operator's."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")
+
+
+def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep, judged against references from this stage's input."""
+    rows = docs.select(_whole(docs), "text", "lang")
+    return judge(rows, language_references(docs), ("_doc",)).where("kept").select("_doc.*")
+
+
+def near_duplicate_removal(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest doc_id, of each component at five words and 0.8.
+
+    Of rows with one doc_id one stays; rows without a doc_id can't be told apart by it and all stay.
+    """
+    named = docs.where(F.col("doc_id").isNotNull())
+    heads = near_duplicates(named, width=5).where("kept").select("doc_id").distinct()
+    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    kept = named.join(heads, "doc_id", "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
-def run(spark, sf_dir):
-    from tessera.llm.common import stored, table
+def benchmark_decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_redaction(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by a mark and n_chars as it is then."""
+    done = redact_secrets(docs.select("text", _whole(docs)), keep=("_doc",))
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return done.select(*(changed.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns))
+
+
+def packing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 tokens, mixed as the sources' tokens are: one row per piece, with its ids."""
+    pieces = pack(docs, keep=("doc_id", "source"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids").cast("long"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicate_removal", near_duplicate_removal),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_redaction", secret_redaction),
+    ("packing", packing),
+]
+
+#: Histogram distances, MinHash components and tokenizer ids are beyond SQL; tests hold every stage against brute force.
+ORACLE_SQL = None
+
 
+def run(spark, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)

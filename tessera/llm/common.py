@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -36,5 +37,10 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
 
 
+def schema_of(df: DataFrame, keep, more: str) -> T.StructType:
+    """df's fields of the names in keep, then the fields of a DDL string."""
+    return T.StructType([*(df.schema[n] for n in keep), *T.StructType.fromDDL(more).fields])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -16,15 +16,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import stored, table
+from tessera.llm.common import schema_of, stored, table
 from tessera.llm.token_ids import gather, slices, token_ids, vocabulary_path
 
 
-def _fields(df: DataFrame, names: tuple[str, ...]) -> str:
-    return "".join(f", `{n}` {df.schema[n].dataType.simpleString()}" for n in names)
-
-
 def _encoded(docs: DataFrame, keep: tuple[str, ...], vocabulary: str, end_id: int) -> DataFrame:
     """For each row of docs (_text, _queue, keep): its ids with the end id, in the vocabulary's narrowest type, and how many tokens of its queue lie ahead of it in its part of the input."""
 
@@ -52,7 +49,8 @@ def _encoded(docs: DataFrame, keep: tuple[str, ...], vocabulary: str, end_id: in
                 yield pa.RecordBatch.from_arrays([*out.values(), *own.columns[2:]], [*out, *keep])
                 row += len(texts)
 
-    return docs.mapInArrow(encode, "_row long, _queue string, _part int, _ahead long, _n long, _ids binary" + _fields(docs, keep))
+    own = schema_of(docs, (), "_row long, _queue string, _part int, _ahead long, _n long, _ids binary")
+    return docs.mapInArrow(encode, T.StructType([*own.fields, *(docs.schema[n] for n in keep)]))
 
 
 def _binaries(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
@@ -156,7 +154,7 @@ def pack(
                     [*keep, "sequence_id", "offset", "start", "length", "doc_tokens", "ids"],
                 )
 
-    schema = (_fields(clean, keep) + ", sequence_id long, offset long, start long, length long, doc_tokens long, ids binary")[2:]
+    schema = schema_of(clean, keep, "sequence_id long, offset long, start long, length long, doc_tokens long, ids binary")
     return tokens.join(by_row, "_row").select("_ids", "_n", "_pieces", *keep).mapInArrow(slice_ids, schema)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.decontamination import op3_benchmark_leaks
 from tessera.llm.near_dup import op4_near_duplicates
 from tessera.llm.packing import op1_packed_pieces
 from tessera.llm.quality import op8_quality_rules
@@ -15,6 +16,7 @@ from tessera.llm.warc import OP9_SQL, op9_warc_records
 QUERIES = {
     "op1_packed_pieces": op1_packed_pieces,
     "op2_secret_spans": op2_secret_spans,
+    "op3_benchmark_leaks": op3_benchmark_leaks,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_url_verdicts": op5_url_verdicts,
     "op6_jump_shards": op6_jump_shards,

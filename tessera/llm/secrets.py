@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import schema_of, table
 from tessera.llm.token_ids import slices
 
 KINDS = ("assign", "access", "hex", "novel")
@@ -99,7 +99,7 @@ def _mapped(df: DataFrame, fields: str, one) -> DataFrame:
                 found = list(zip(*(one(x or "") for x in texts.to_pylist())))
                 yield pa.RecordBatch.from_arrays([*own.columns[1:], *(pa.array(x, t) for x, t in zip(found, types))], [*(f.name for f in rest), *names])
 
-    return df.mapInArrow(run, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest) + fields)
+    return df.mapInArrow(run, schema_of(df, [f.name for f in rest], fields))
 
 
 def find_secrets(docs: DataFrame, keep: tuple[str, ...], text: str = "text") -> DataFrame:

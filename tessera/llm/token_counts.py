@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import schema_of, table
 from tessera.llm.token_ids import distinct_words, drops_white_space, load_tokenizer, slices, vocabulary_path
 
 _NONE = np.int64(1 << 40)
@@ -146,7 +146,7 @@ def token_counter(path: str) -> TokenCounter:
 def count_tokens(df: DataFrame, text: str, vocabulary: str, name: str = "n_tokens") -> DataFrame:
     """df's text column replaced by its token count (long); other columns stay. No shuffle: each batch is counted where it is read."""
     at = df.columns.index(text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != text)
+    schema = schema_of(df, [c for c in df.columns if c != text], f"`{name}` long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = token_counter(vocabulary)
@@ -156,7 +156,7 @@ def count_tokens(df: DataFrame, text: str, vocabulary: str, name: str = "n_token
                 counts = pa.array(counter.count(texts), pa.int64())
                 yield pa.RecordBatch.from_arrays([*rest.columns, counts], [*rest.schema.names, name])
 
-    return df.mapInArrow(count, f"{schema}, `{name}` long" if schema else f"`{name}` long")
+    return df.mapInArrow(count, schema)
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:

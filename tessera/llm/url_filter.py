@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import schema_of, table
 from tessera.llm.token_ids import slices
 
 _SLASH = ord("/")
@@ -140,7 +140,7 @@ def filter_urls(df: DataFrame, url: str, rules: tuple[Rule, ...], keep: tuple[st
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     parts = df.select(*keep, F.translate(F.regexp_extract(text, pattern, 1), upper, upper.lower()).alias("host"), F.regexp_extract(text, pattern, 2).alias("path"))
     known = RuleSet(tuple(rules))
-    schema = "".join(f"`{n}` {df.schema[n].dataType.simpleString()}, " for n in keep) + "host string, path string, rule string, verdict string"
+    schema = schema_of(df, keep, "host string, path string, rule string, verdict string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array([*(r.name for r in known.ordered), None], pa.string())
