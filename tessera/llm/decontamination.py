@@ -85,8 +85,8 @@ def canonical(texts: pa.Array) -> Template:
     opens = first[:-1] | np.append(True, stop[:-1])[: len(index)]
     follows = np.append(False, number[:-1])[: len(index)] & ~first[:-1]
     kind = np.where(number, _NUMBER, np.where(unit & follows, _UNIT, np.where(upper & ~opens, _NAME, _LITERAL)))
-    run = (kind == _NAME) & np.append(False, (kind == _NAME)[:-1])[: len(index)] & ~first[:-1]
-    keep = word & ~run
+    name = kind == _NAME
+    keep = word & ~(name & np.append(name[1:], False)[: len(index)] & ~first[1:])  # of a run of names, the last
     slot = np.array([0, 1, 2, 3], np.uint64)[kind]
     token = np.where(kind == _LITERAL, value, mixed(slot))
     return Template(np.concatenate([[0], np.cumsum(keep)])[begins], token[keep], value[keep], kind[keep])
