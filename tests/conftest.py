@@ -1,9 +1,12 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+HOME = str(Path(__file__).resolve().parent.parent)
+sys.path.insert(0, HOME)
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [HOME, os.environ.get("PYTHONPATH")]))  # for the Python workers
 
 
 @pytest.fixture(scope="session")
