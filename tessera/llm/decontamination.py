@@ -1,12 +1,13 @@
 """Benchmark decontamination by template canonicalisation.
 
-A text becomes a row of template tokens: numbers, units after numbers, and names (capitalised words within a
-sentence, runs of them as one) are replaced by typed placeholders, all other words are lower-cased and stand
-for themselves. Windows of eight template tokens are looked up in a hash table of the benchmark's windows.
-Hits of one document and item that keep their distance are one alignment; its slots are checked: one item
-value must stand for one value of the document throughout and the other way round. Windows over a slot that
-breaks this don't count. A copy maps every value to itself, a re-parameterised question to others, and both
-are caught.
+A text becomes a row of template tokens: numbers, units after numbers, and names are replaced by typed
+placeholders, all other words are lower-cased and stand for themselves. Names are capitalised words within a
+sentence, up to four in a row as one; longer rows and neighbours in capitals throughout are headings and shouts.
+
+Windows of eight template tokens are looked up in a hash table of the benchmark's windows. Hits of one document
+and item that keep their distance are one alignment; its slots are checked: one item value must stand for one
+value of the document throughout and the other way round. Windows over a slot that breaks this don't count. A
+copy maps every value to itself, a re-parameterised question to others, and both are caught.
 """
 
 from __future__ import annotations
@@ -45,6 +46,7 @@ UNITS = frozenset(
 
 _TRIM = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "%$") + "«»“”‘’„…–—¿¡"
 _LITERAL, _NUMBER, _UNIT, _NAME = range(4)
+_NAME_WORDS = 4
 
 
 @dataclass
@@ -73,6 +75,7 @@ def canonical(texts: pa.Array) -> Template:
         return np.asarray(x, bool)[index] if len(index) else np.empty(0, bool)
 
     upper = each(pc.utf8_is_upper(pc.utf8_slice_codeunits(core, 0, 1)))
+    capitals = each(pc.utf8_is_upper(core))
     number = each(pc.match_substring_regex(core, r"^[+-]?[0-9]([0-9.,:/]*[0-9])?$"))
     unit = each(pc.is_in(lower, pa.array(sorted(UNITS))))
     line = each(pc.equal(words, "\x02"))
@@ -86,6 +89,13 @@ def canonical(texts: pa.Array) -> Template:
     follows = np.append(False, number[:-1])[: len(index)] & ~first[:-1]
     kind = np.where(number, _NUMBER, np.where(unit & follows, _UNIT, np.where(upper & ~opens, _NAME, _LITERAL)))
     name = kind == _NAME
+    new = name & ~(np.append(False, name[:-1])[: len(index)] & ~first[:-1])
+    run = np.cumsum(new)
+    heading = np.bincount(run[name], minlength=len(index) + 1)[run] > _NAME_WORDS
+    after = np.append(False, capitals[:-1])[: len(index)] & ~first[:-1]
+    before = np.append(capitals[1:], False)[: len(index)] & ~first[1:]
+    kind = np.where(name & (heading | capitals & (after | before)), _LITERAL, kind)
+    name = kind == _NAME
     keep = word & ~(name & np.append(name[1:], False)[: len(index)] & ~first[1:])  # of a run of names, the last
     slot = np.array([0, 1, 2, 3], np.uint64)[kind]
     token = np.where(kind == _LITERAL, value, mixed(slot))

@@ -119,7 +119,7 @@ CASES = {
     5: ("too short", {}),
     6: ("", {}),
     7: (None, {}),
-    8: (ITEMS[4][1].upper() + "\n" + ITEMS[1][1], {2: 0}),
+    8: (ITEMS[4][1].upper() + "\n" + ITEMS[1][1], {2: 0, None: 0}),
     9: (ITEMS[4][1], {None: 0}),
 }
 
