@@ -33,11 +33,11 @@ def near_duplicate_removal(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows with one doc_id one stays; rows without a doc_id can't be told apart by it and all stay.
     """
-    named = docs.where(F.col("doc_id").isNotNull())
+    named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", _whole(docs))
     heads = near_duplicates(named, width=5).where("kept").select("doc_id").distinct()
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = named.join(heads, "doc_id", "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
-    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    kept = named.join(heads, "doc_id", "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1")
+    return kept.select("_doc.*").unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def benchmark_decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import decontamination, near_dup, packing, secrets
@@ -188,12 +189,13 @@ def test_pipeline(spark, tmp_path):
 
 def test_pipeline_takes_odd_and_empty_tables(spark, odd_docs, nothing):
     wide = odd_docs.drop("spans", "n_tokens", "kept", "shard")
-    for docs in (odd_docs, wide.limit(0)):
+    clashing = odd_docs.withColumns({x: F.lit(1) for x in ("_doc", "_n", "_text", "_row", "a.b", "doc", "item_id")})
+    for docs in (clashing, wide.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, nothing)
         docs.count()
-    one = corpus_pipeline.near_duplicate_removal(spark, odd_docs, nothing)
-    assert one.columns == odd_docs.columns and one.where("doc_id = 9").count() + one.where("doc_id = 8").count() == 1
+    one = corpus_pipeline.near_duplicate_removal(spark, clashing, nothing)
+    assert one.columns == clashing.columns and one.where("doc_id = 9").count() + one.where("doc_id = 8").count() == 1
 
 
 def test_packing_is_the_last_stage():
