@@ -19,6 +19,13 @@ def column_statistics(df: DataFrame, *fields: str) -> DataFrame:
     return reduce(DataFrame.unionByName, each)
 
 
+def equi_join_size(left: DataFrame, left_field: str, right: DataFrame, right_field: str) -> DataFrame:
+    """One row, n_rows: how many rows an equi-join gives. Each side is counted by key first, so a hot key costs one row a side and not the product."""
+    a = left.groupBy(F.col(left_field).alias("k")).agg(F.count("*").alias("a"))
+    b = right.groupBy(F.col(right_field).alias("k")).agg(F.count("*").alias("b"))
+    return a.join(b, "k").agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0)).alias("n_rows"))
+
+
 def maxdiff_histogram(df: DataFrame, field: str, buckets: int = 20, percentiles: int = 5) -> DataFrame:
     """MaxDiff(V, F) buckets of a field: frequency, low, high, distinct, and the values at equal shares of the distinct ones.
 

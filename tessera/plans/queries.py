@@ -226,6 +226,10 @@ plan(
     " UNION ALL ".join(f"SELECT '{f}' AS field, count({f}) AS n_rows, count(DISTINCT {f}) AS n_distinct, CAST(min({f}) AS VARCHAR) AS low, CAST(max({f}) AS VARCHAR) AS high FROM orders" for f in ("o_orderkey", "o_custkey", "o_orderstatus")),
     lambda t: statistics.column_statistics(t("orders"), "o_orderkey", "o_custkey", "o_orderstatus"),
 )
+plan(
+    "stats_join_size", "SELECT count(*) AS n_rows FROM lineitem JOIN supplier ON l_suppkey = s_suppkey",
+    lambda t: statistics.equi_join_size(t("lineitem"), "l_suppkey", t("supplier"), "s_suppkey"),
+)
 plan("stats_maxdiff", None, lambda t: statistics.maxdiff_histogram(t("part"), "p_size", 5, 5))
 
 
