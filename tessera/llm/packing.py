@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import schema_of, stored, table
-from tessera.llm.token_ids import gather, slices, token_ids, vocabulary_path
+from tessera.llm.token_ids import TEXT_BYTES, gather, slices, token_ids, vocabulary_path
 
 
 def _encoded(docs: DataFrame, keep: tuple[str, ...], vocabulary: str, end_id: int) -> DataFrame:
@@ -29,7 +29,7 @@ def _encoded(docs: DataFrame, keep: tuple[str, ...], vocabulary: str, end_id: in
         encoder, part, row = token_ids(vocabulary), TaskContext.get().partitionId(), 0
         sent: dict[str, int] = {}
         for batch in batches:
-            for first, texts in slices(batch.column(0)):
+            for first, texts in slices(batch.column(0), TEXT_BYTES):
                 own = batch.slice(first, len(texts))
                 ids, counts = encoder.encode(texts)
                 ids = np.insert(ids, np.cumsum(counts), end_id).astype(encoder.dtype)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import filesystem, shared_path, stored, table
 from tessera.llm.crc32c import crc32c, masked
-from tessera.llm.token_ids import slices, token_ids, vocabulary_path
+from tessera.llm.token_ids import TEXT_BYTES, slices, token_ids, vocabulary_path
 
 _HEAD, _TAIL = 12, 4
 _MANIFEST = "part int, file int, path string, records long, tokens long"
@@ -118,7 +118,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int, fi
         root.create_dir(begun, recursive=True)
         part, name, done = task.partitionId(), f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}", []
         for batch in batches:
-            for first, texts in slices(batch.column(1)):
+            for first, texts in slices(batch.column(1), TEXT_BYTES):
                 ids, counts = encoder.encode(texts)
                 ids = np.insert(ids, np.cumsum(counts), end_id).astype(encoder.dtype)
                 ends = np.cumsum(counts + 1)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import schema_of, table
-from tessera.llm.token_ids import distinct_words, drops_white_space, load_tokenizer, slices, vocabulary_path
+from tessera.llm.token_ids import TEXT_BYTES, distinct_words, drops_white_space, load_tokenizer, slices, vocabulary_path
 
 _NONE = np.int64(1 << 40)
 _REMEMBERED = 700_000
@@ -151,7 +151,7 @@ def count_tokens(df: DataFrame, text: str, vocabulary: str, name: str = "n_token
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = token_counter(vocabulary)
         for batch in batches:
-            for first, texts in slices(batch.column(at)):
+            for first, texts in slices(batch.column(at), TEXT_BYTES):
                 rest = batch.slice(first, len(texts)).remove_column(at)
                 counts = pa.array(counter.count(texts), pa.int64())
                 yield pa.RecordBatch.from_arrays([*rest.columns, counts], [*rest.schema.names, name])

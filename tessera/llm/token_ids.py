@@ -22,8 +22,11 @@ _WORD_STEPS = ["NFC", "Replace", "Lowercase"]
 #: Words that a worker remembers before it starts anew.
 _REMEMBERED = 700_000
 
-#: Words that the library encodes as one text.
-_RUN = 50
+#: Words that the library encodes as one text, and how many such texts at a time.
+_RUN, _RUNS = 50, 200
+
+#: Bytes of text whose words are told apart at once.
+TEXT_BYTES = 8 << 20
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -89,11 +92,13 @@ class TokenIds:
         """As _encode, for words without white space: runs of words are encoded as one text, which costs less."""
         runs = [words[k : k + _RUN] for k in range(0, len(words), _RUN)]
         ids, counts = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
-        for run, e in zip(runs, self.tokenizer.encode_batch([" ".join(x) for x in runs], add_special_tokens=False)):
-            begins = np.cumsum([0, *(len(x) + 1 for x in run)])
-            word = np.searchsorted(begins, np.fromiter((b for b, _ in e.offsets), np.int64, len(e.offsets)), "right") - 1
-            ids.append(np.array(e.ids, np.uint32))
-            counts.append(np.bincount(word, minlength=len(run)))
+        for k in range(0, len(runs), _RUNS):
+            some = runs[k : k + _RUNS]
+            for run, e in zip(some, self.tokenizer.encode_batch([" ".join(x) for x in some], add_special_tokens=False)):
+                begins = np.cumsum([0, *(len(x) + 1 for x in run)])
+                word = np.searchsorted(begins, np.fromiter((b for b, _ in e.offsets), np.int64, len(e.offsets)), "right") - 1
+                ids.append(np.array(e.ids, np.uint32))
+                counts.append(np.bincount(word, minlength=len(run)))
         return np.concatenate(ids), np.concatenate(counts)
 
     def _learn(self, words: list[str]) -> None:
@@ -150,7 +155,7 @@ def token_ids(path: str) -> TokenIds:
     return TokenIds(path)
 
 
-def slices(column: pa.Array, most_bytes: int = 8 << 20) -> list[tuple[int, pa.Array]]:
+def slices(column: pa.Array, most_bytes: int = 4 << 20) -> list[tuple[int, pa.Array]]:
     """(first row, rows) of a string array in runs of about most_bytes, so that long texts don't meet in memory."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
     run = (np.cumsum(sizes + 8) - sizes - 8) // most_bytes
