@@ -103,6 +103,8 @@ def pack(
     no pieces. Repeated rows are packed as often as they occur. Kept columns must not be named like the results
     or begin with an underscore; all other columns of docs may have any name.
     """
+    if any(share <= 0 for share in (mixture or {}).values()):
+        raise ValueError("a source's share must be positive")
     spark = docs.sparkSession
     clean = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text"), queue_name(F.col(source)).alias("_queue"), *keep)
     tokens = stored(_encoded(clean, keep, vocabulary or vocabulary_path(), end_id), "tokens")
