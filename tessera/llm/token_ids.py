@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -19,6 +20,9 @@ import pyarrow.compute as pc
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WORD_STEPS = ["NFC", "Replace", "Lowercase"]
 
+#: Letters that are each one character to the normaliser and the pre-token pattern.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿŒœ]+").fullmatch
+
 #: Words that a worker remembers before it starts anew.
 _REMEMBERED = 700_000
 
@@ -76,7 +80,12 @@ class TokenIds:
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
         with open(path) as f:
-            self.by_word = drops_white_space(json.load(f))
+            config = json.load(f)
+        self.by_word = drops_white_space(config)
+        self.suffix = config["model"].get("end_of_word_suffix") or ""
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for x, i in vocabulary.items() if self.suffix and x.endswith(self.suffix)]] = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self._forget()
 
@@ -89,17 +98,37 @@ class TokenIds:
         return np.array([i for x in found for i in x], np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """As _encode, for words without white space: runs of words are encoded as one text, which costs less."""
-        runs = [words[k : k + _RUN] for k in range(0, len(words), _RUN)]
-        ids, counts = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
-        for k in range(0, len(runs), _RUNS):
-            some = runs[k : k + _RUNS]
-            for run, e in zip(some, self.tokenizer.encode_batch([" ".join(x) for x in some], add_special_tokens=False)):
-                begins = np.cumsum([0, *(len(x) + 1 for x in run)])
+        """As _encode, for words without white space: runs of words are encoded as one text, which costs less.
+
+        A word of plain letters is one pre-token, and its last token alone bears the end-of-word mark; other words
+        are told apart by the library's offsets, which take longer to make.
+        """
+        plain = np.fromiter((self.suffix and _PLAIN(x) is not None for x in words), bool, len(words))
+        ids, counts = [np.empty(0, np.uint32)], np.zeros(len(words), np.int64)
+        letters = [words[k] for k in np.flatnonzero(plain)]
+        for run in self._runs(letters):
+            ids += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(run, add_special_tokens=False)]
+        flat = [np.concatenate(ids)]
+        counts[plain] = np.diff(np.flatnonzero(self.ends[flat[0]]), prepend=-1)
+        sizes = []
+        others = [words[k] for k in np.flatnonzero(~plain)]
+        for run in self._runs(others):
+            for text, e in zip(run, self.tokenizer.encode_batch(run, add_special_tokens=False)):
+                begins = np.cumsum([0, *(len(x) + 1 for x in text.split(" "))])
                 word = np.searchsorted(begins, np.fromiter((b for b, _ in e.offsets), np.int64, len(e.offsets)), "right") - 1
-                ids.append(np.array(e.ids, np.uint32))
-                counts.append(np.bincount(word, minlength=len(run)))
-        return np.concatenate(ids), np.concatenate(counts)
+                flat.append(np.array(e.ids, np.uint32))
+                sizes.append(np.bincount(word, minlength=len(begins) - 1))
+        if sizes:
+            counts[~plain] = np.concatenate(sizes)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        starts = np.zeros(len(words), np.int64)
+        starts[order] = np.cumsum(counts[order]) - counts[order]
+        return gather(np.concatenate(flat), starts, counts), counts
+
+    @staticmethod
+    def _runs(words: list[str]) -> list[list[str]]:
+        texts = [" ".join(words[k : k + _RUN]) for k in range(0, len(words), _RUN)]
+        return [texts[k : k + _RUNS] for k in range(0, len(texts), _RUNS)]
 
     def _learn(self, words: list[str]) -> None:
         fresh = [x for x in words if x not in self.place]
@@ -157,6 +186,7 @@ def token_ids(path: str) -> TokenIds:
 
 def slices(column: pa.Array, most_bytes: int = 4 << 20) -> list[tuple[int, pa.Array]]:
     """(first row, rows) of a string array in runs of about most_bytes, so that long texts don't meet in memory."""
+    pa.default_memory_pool().release_unused()  # of the batch before, as a worker lives on with what its pool holds
     sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
     run = (np.cumsum(sizes + 8) - sizes - 8) // most_bytes
     cuts = np.flatnonzero(np.diff(run, prepend=-1)).tolist() + [len(column)]
