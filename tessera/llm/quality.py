@@ -1,8 +1,9 @@
 """Quality rules: counts over words and lines, and how far a document's histograms lie from its language's.
 
 The distribution rule compares two histograms of a document, of character classes and of common words, with
-the same histograms of all documents of its language, by Jensen-Shannon distance. Documents with few words are
-exempt, since their histograms say little.
+the same histograms of all documents of its language, by Jensen-Shannon distance. All other words share one bin, so
+a text without common words lies no farther off than that bin allows; the share of common words has a bound of its
+own. Documents with few words are exempt, since their histograms say little.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +37,8 @@ def _class_table() -> np.ndarray:
 
 _CLASS_OF = _class_table()
 
-#: What makes the references: words of at most so many bytes, so many of the most frequent ones for each language, languages with at least this share of all words (the others are held against all documents).
-_WORD_BYTES, _COMMON, _LEAST_SHARE = 6, 150, 0.005
+#: What makes the references: so many of the most frequent words for each language, languages with at least this share of all words (the others are held against all documents).
+_COMMON, _LEAST_SHARE = 150, 0.005
 _LANES = 16
 
 #: Bytes of text that are counted at once; each byte takes a few 64-bit numbers meanwhile.
@@ -47,6 +49,12 @@ _REST = "*"
 #: The distribution rule: documents of fewer words are exempt; distances above these fail.
 LEAST_WORDS, MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE = 50, 0.32, 0.55
 
+#: It also fails documents whose share of common words is less than this part of the reference's, where the reference lets so many be expected.
+LEAST_COMMON, _LEAST_EXPECTED = 0.5, 16
+
+#: Words of more bytes are counted under a hash of theirs, so that they weigh little in a shuffle.
+_LONG_WORD = 32
+
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -116,13 +124,19 @@ def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
-def _short(coded: pa.DictionaryArray) -> np.ndarray:
-    """Of the distinct words, those that may be common ones."""
-    return np.asarray(pc.less_equal(pc.binary_length(coded.dictionary), _WORD_BYTES))
+def _lower_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Where each text's words begin (and all end), each word's number, and the distinct lower-case words by number, long ones as hashes."""
+    begins, coded = _words(pc.ascii_lower(texts))
+    names = coded.dictionary
+    long = pc.greater(pc.binary_length(names), _LONG_WORD)
+    hashes = [xxhash.xxh3_128_hexdigest(x) for x in names.filter(long).cast(pa.binary()).to_pylist()]
+    return begins, np.asarray(coded.indices), pc.replace_with_mask(names, long, pa.array(hashes, names.type)) if hashes else names
 
 
 def _gathered(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """(lang, kind, item, n): class counts, words in all, and counts of short lower-case words, summed up in each batch."""
+    """(lang, kind, item, n): class counts, words in all, and counts of lower-case words, summed up in each batch."""
+
+    columns, types = ["lang", "kind", "item", "n"], (pa.string(), pa.string(), pa.string(), pa.int64())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,15 +144,14 @@ def _gathered(docs: DataFrame, text: str, lang: str) -> DataFrame:
                 langs = batch.column(1).slice(first, len(texts)).dictionary_encode()
                 number, names = np.asarray(langs.indices), langs.dictionary.to_pylist()
                 classes = _class_counts(texts)
-                begins, coded = _words(pc.ascii_lower(texts))
-                owner, index = np.repeat(number, np.diff(begins)), np.asarray(coded.indices)
-                short = _short(coded)[index]
-                key, n = np.unique(owner[short].astype(np.int64) * len(coded.dictionary) + index[short], return_counts=True)
+                begins, index, words = _lower_words(texts)
+                owner = np.repeat(number, np.diff(begins))
+                key, n = np.unique(owner.astype(np.int64) * len(words) + index, return_counts=True)
                 rows = [(names[k], "class", c, int(v)) for k in range(len(names)) for c, v in zip(_CLASSES[:_NOT_COUNTED], classes[number == k].sum(axis=0).tolist())]
                 rows += [(names[k], "all", "", int(v)) for k, v in enumerate(np.bincount(owner, minlength=len(names)))]
-                words = coded.dictionary.take(pa.array(key % max(1, len(coded.dictionary)))).to_pylist()
-                rows += [(names[k], "word", w, v) for k, w, v in zip((key // max(1, len(coded.dictionary))).tolist(), words, n.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.string(), pa.string(), pa.int64()))], ["lang", "kind", "item", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], columns)
+                of, word = np.divmod(key, max(1, len(words)))
+                yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(of)).cast(pa.string()), pa.array(["word"] * len(key)).cast(pa.string()), words.take(pa.array(word)).cast(pa.string()), pa.array(n, pa.int64())], columns)
 
     rows = docs.select(text, F.coalesce(F.col(lang), F.lit(_REST)).alias("lang")).mapInArrow(count, "lang string, kind string, item string, n long")
     return rows.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
@@ -149,7 +162,7 @@ class References:
 
     def __init__(self, rows: list[tuple[str, str, str, int]]):
         self.classes: dict[str, np.ndarray] = {}
-        self.words: dict[str, tuple[dict[str, int], np.ndarray]] = {}
+        self.words: dict[str, tuple[pa.Array, np.ndarray]] = {}
         for lang in {r[0] for r in rows}:
             own = [r for r in rows if r[0] == lang]
             counts = np.zeros(_NOT_COUNTED)
@@ -159,7 +172,7 @@ class References:
             common = sorted((r[2], r[3]) for r in own if r[1] == "word")
             rest = sum(r[3] for r in own if r[1] == "all") - sum(n for _, n in common)
             self.classes[lang] = counts
-            self.words[lang] = ({w: k for k, (w, _) in enumerate(common)}, np.array([*(n for _, n in common), rest], float))
+            self.words[lang] = (pa.array([w for w, _ in common], pa.string()), np.array([*(n for _, n in common), rest], float))
 
 
 def language_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> References:
@@ -189,33 +202,32 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, kl / 2)))
 
 
-def distances(texts: pa.Array, langs: list[str | None], refs: References) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text to its language: by character classes, by common words."""
+def distances(texts: pa.Array, langs: list[str | None], refs: References) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text to its language: by character classes, by common words; and whether it has too few common words."""
     classes = _class_counts(texts)[:, :_NOT_COUNTED]
-    begins, coded = _words(pc.ascii_lower(texts))
-    index, out = np.asarray(coded.indices), np.zeros((2, len(texts)))
-    short = np.flatnonzero(_short(coded))
-    names = coded.dictionary.take(pa.array(short)).to_pylist()
+    begins, index, words = _lower_words(texts)
+    out, poor = np.zeros((2, len(texts))), np.zeros(len(texts), bool)
     slots = {}
     for lang in {x if x in refs.words else _REST for x in langs} & set(refs.words):
-        place, ref = refs.words[lang]
-        slot = np.full(len(coded.dictionary), len(ref) - 1)
-        slot[short] = [place.get(w, len(ref) - 1) for w in names]
-        slots[lang] = slot
+        common, ref = refs.words[lang]
+        slots[lang] = np.asarray(pc.fill_null(pc.index_in(words.cast(pa.string()), value_set=common), len(common)), np.int64)
     for k, lang in enumerate(langs):
         lang = lang if lang in slots else _REST
         if lang in slots:
             ref = refs.words[lang][1]
+            own = np.bincount(slots[lang][index[begins[k] : begins[k + 1]]], minlength=len(ref)).astype(float)
             out[0, k] = distance(classes[k].astype(float), refs.classes[lang])
-            out[1, k] = distance(np.bincount(slots[lang][index[begins[k] : begins[k + 1]]], minlength=len(ref)).astype(float), ref)
-    return out[0], out[1]
+            out[1, k] = distance(own, ref)
+            expected = own.sum() * ref[:-1].sum() / max(1, ref.sum())
+            poor[k] = expected >= _LEAST_EXPECTED and own[:-1].sum() < LEAST_COMMON * expected
+    return out[0], out[1], poor
 
 
 def judge(docs: DataFrame, refs: References, keep: tuple[str, ...], text: str = "text", lang: str = "lang") -> DataFrame:
     """keep, COUNTS, class_distance, word_distance, base_failed and kept for each row of docs.
 
     base_failed: under 20 words, or over 30 % of them in repeated windows. kept: neither that, nor, with LEAST_WORDS
-    words or more, a distance above its bound. A null text has no words and fails. A null language, or one too
+    words or more, a distance above its bound or less than LEAST_COMMON of the common words that its language has. A null text has no words and fails. A null language, or one too
     rare for a reference, is held against all documents. No shuffle: rows are judged where they are read.
     Kept columns must not be named like the results; other columns of docs may have any name.
     """
@@ -227,9 +239,9 @@ def judge(docs: DataFrame, refs: References, keep: tuple[str, ...], text: str =
             for first, texts in slices(batch.column(0), _TEXT_BYTES):
                 own = batch.slice(first, len(texts))
                 n = base_counts(texts)
-                classes, words = distances(texts, own.column(1).to_pylist(), shared.value)
+                classes, words, poor = distances(texts, own.column(1).to_pylist(), shared.value)
                 failed = (n["n_words"] < 20) | (100 * n["n_repeat_words"] > 30 * n["n_words"])
-                far = (n["n_words"] >= LEAST_WORDS) & ((classes > MOST_CLASS_DISTANCE) | (words > MOST_WORD_DISTANCE))
+                far = (n["n_words"] >= LEAST_WORDS) & ((classes > MOST_CLASS_DISTANCE) | (words > MOST_WORD_DISTANCE) | poor)
                 out = {c: n[c].astype(np.int64) for c in COUNTS} | {"class_distance": classes, "word_distance": words, "base_failed": failed, "kept": ~failed & ~far}
                 yield pa.RecordBatch.from_arrays([*own.columns[2:], *map(pa.array, out.values())], [*keep, *out])
 

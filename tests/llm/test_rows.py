@@ -1,6 +1,7 @@
 """Sharding, URL rules, quality rules, secrets and WARC archives against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -114,6 +115,25 @@ def test_far_histograms_fail_and_short_texts_are_exempt(spark):
     assert all(out[k].kept for k in [*range(200), 1002] if not out[k].base_failed)
 
 
+def _prose(rng, common, letters, n):
+    """n words, half of them common ones (of any length), the others of natural letters."""
+    return " ".join(rng.choice(common) if rng.random() < 0.5 else "".join(rng.choices(letters, k=rng.randint(4, 9))) for _ in range(n))
+
+
+def test_texts_without_common_words_of_their_language_fail(spark):
+    rng = random.Random(2)
+    french = "de la le et les en des que dans pour une qui toujours beaucoup quelquefois".split()
+    russian = "и в не на что который потому человек сегодня однако".split()
+    english = "the of and to in is that because without everything".split()
+    tongues = {"en": (english, "etaoinshrdlu"), "fr": (french, "etaoinshrdlu"), "ru": (russian, "оеаинтсрвлкм")}
+    rows = [(1000 * j + k, _prose(rng, *tongues[lang], rng.randint(60, 200)), lang) for j, lang in enumerate(tongues) for k in range(100)]
+    rows += [(5000 + k, _prose(rng, *tongues["fr"], 100), "en") for k in range(5)]
+    rows += [(6000 + k, _prose(rng, [""], letters, 200), lang) for k, (lang, (_, letters)) in enumerate(tongues.items())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r.doc_id: r.kept for r in quality.judge(docs, quality.language_references(docs), ("doc_id",)).collect()}
+    assert all(kept == (k < 5000) for k, kept in out.items())
+
+
 def test_distance():
     p, q = np.array([1.0, 0, 1]), np.array([0, 2.0, 0])
     assert quality.distance(p, p * 7) == 0 and quality.distance(p, q) == pytest.approx(1) and quality.distance(p, p * 0) == 0
