@@ -3,12 +3,16 @@
 The distribution rule compares two histograms of a document, of character classes and of common words, with
 the same histograms of all documents of its language, by Jensen-Shannon distance. All other words share one bin, so
 a text without common words lies no farther off than that bin allows; the share of common words has a bound of its
-own. Documents with few words are exempt, since their histograms say little.
+own. Documents with few words are exempt, since their histograms say little, and so are those without a language or
+of one with too few words in all for a reference.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial, reduce
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +41,15 @@ def _class_table() -> np.ndarray:
 
 _CLASS_OF = _class_table()
 
-#: What makes the references: so many of the most frequent words for each language, languages with at least this share of all words (the others are held against all documents).
-_COMMON, _LEAST_SHARE = 150, 0.005
+#: What makes the references: so many of the most frequent words for each language, languages with at least so many words.
+_COMMON, _LEAST_REFERENCE = 150, 5000
 _LANES = 16
 
 #: Bytes of text that are counted at once; each byte takes a few 64-bit numbers meanwhile.
 _TEXT_BYTES = 1 << 20
 
-_REST = "*"
+#: Languages whose references are in memory at once; more are judged in more passes.
+_BLOCK_LANGS = 500
 
 #: The distribution rule: documents of fewer words are exempt; distances above these fail.
 LEAST_WORDS, MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE = 50, 0.32, 0.55
@@ -153,12 +158,12 @@ def _gathered(docs: DataFrame, text: str, lang: str) -> DataFrame:
                 of, word = np.divmod(key, max(1, len(words)))
                 yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(of)).cast(pa.string()), pa.array(["word"] * len(key)).cast(pa.string()), words.take(pa.array(word)).cast(pa.string()), pa.array(n, pa.int64())], columns)
 
-    rows = docs.select(text, F.coalesce(F.col(lang), F.lit(_REST)).alias("lang")).mapInArrow(count, "lang string, kind string, item string, n long")
+    rows = docs.where(F.col(lang).isNotNull()).select(text, F.col(lang).alias("lang")).mapInArrow(count, "lang string, kind string, item string, n long")
     return rows.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
 
 
 class References:
-    """Histograms of each language, by name; ``*`` has all documents."""
+    """Histograms of languages, by name."""
 
     def __init__(self, rows: list[tuple[str, str, str, int]]):
         self.classes: dict[str, np.ndarray] = {}
@@ -175,20 +180,34 @@ class References:
             self.words[lang] = (pa.array([w for w, _ in common], pa.string()), np.array([*(n for _, n in common), rest], float))
 
 
-def language_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> References:
-    """References from all rows of docs. At most 1 / 0.005 languages have one, of 150 words and 11 classes each; that bounds what comes to the driver."""
+def _block(lang: F.Column, blocks: int) -> F.Column:
+    return F.pmod(F.xxhash64(lang), F.lit(blocks))
+
+
+@dataclass
+class LanguageReferences:
+    """The references' histograms as a table (lang, kind, item, n), dealt out to blocks by language."""
+
+    rows: DataFrame
+    blocks: int
+
+    def block(self, k: int) -> References:
+        """At most 150 words and 11 classes for each of about 500 languages; that bounds what comes to the driver at once."""
+        return References([tuple(r) for r in self.rows.where(_block(F.col("lang"), self.blocks) == k).collect()])
+
+
+def language_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageReferences:
+    """References from all rows of docs, of every language with 5000 words or more, however small its share."""
     gathered = stored(_gathered(docs, text, lang), "references")
-    words = gathered.where("kind = 'all'")
-    total = words.agg(F.sum("n")).first()[0] or 1
-    large = [r[0] for r in words.where((F.col("n") >= _LEAST_SHARE * total) & (F.col("lang") != _REST)).select("lang").collect()]
-    everything = gathered.groupBy("kind", "item").agg(F.sum("n").alias("n")).select(F.lit(_REST).alias("lang"), "kind", "item", "n")
-    both = gathered.where(F.col("lang").isin(large)).unionByName(everything)
+    large = gathered.where((F.col("kind") == "all") & (F.col("n") >= _LEAST_REFERENCE)).select("lang")
     # The most frequent of each lane first, so that no task ranks a language's words from all tasks.
-    top = both.withColumn("_lane", F.pmod(F.xxhash64("item"), F.lit(_LANES)))
+    top = gathered.withColumn("_lane", F.pmod(F.xxhash64("item"), F.lit(_LANES)))
     for by in (("lang", "kind", "_lane"), ("lang", "kind")):
         order = Window.partitionBy(*by).orderBy(F.desc("n"), "item")
         top = top.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= _COMMON)
-    return References([tuple(r) for r in top.select("lang", "kind", "item", "n").collect()])
+    # Only ranked rows are joined, so that no task takes all words of a language.
+    top = stored(top.join(large, "lang", "left_semi").select("lang", "kind", "item", "n"), "common")
+    return LanguageReferences(top, max(1, ceil(top.where("kind = 'all'").count() / _BLOCK_LANGS)))
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> float:
@@ -203,16 +222,15 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
 
 
 def distances(texts: pa.Array, langs: list[str | None], refs: References) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text to its language: by character classes, by common words; and whether it has too few common words."""
+    """Of each text to its language: by character classes, by common words; and whether it has too few common words. Without a reference, nothing is far."""
     classes = _class_counts(texts)[:, :_NOT_COUNTED]
     begins, index, words = _lower_words(texts)
     out, poor = np.zeros((2, len(texts))), np.zeros(len(texts), bool)
     slots = {}
-    for lang in {x if x in refs.words else _REST for x in langs} & set(refs.words):
+    for lang in set(langs) & set(refs.words):
         common, ref = refs.words[lang]
         slots[lang] = np.asarray(pc.fill_null(pc.index_in(words.cast(pa.string()), value_set=common), len(common)), np.int64)
     for k, lang in enumerate(langs):
-        lang = lang if lang in slots else _REST
         if lang in slots:
             ref = refs.words[lang][1]
             own = np.bincount(slots[lang][index[begins[k] : begins[k + 1]]], minlength=len(ref)).astype(float)
@@ -223,18 +241,18 @@ def distances(texts: pa.Array, langs: list[str | None], refs: References) -> tup
     return out[0], out[1], poor
 
 
-def judge(docs: DataFrame, refs: References, keep: tuple[str, ...], text: str = "text", lang: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, refs: LanguageReferences, keep: tuple[str, ...], text: str = "text", lang: str = "lang") -> DataFrame:
     """keep, COUNTS, class_distance, word_distance, base_failed and kept for each row of docs.
 
     base_failed: under 20 words, or over 30 % of them in repeated windows. kept: neither that, nor, with LEAST_WORDS
-    words or more, a distance above its bound or less than LEAST_COMMON of the common words that its language has. A null text has no words and fails. A null language, or one too
-    rare for a reference, is held against all documents. No shuffle: rows are judged where they are read.
+    words or more, a distance above its bound or less than LEAST_COMMON of the common words that its language has. A null text has no words and fails. Documents without
+    a language, or of one without a reference, have distances 0. No shuffle: rows are judged where they are read, in one
+    pass for each block of references, which takes its languages' documents only.
     Kept columns must not be named like the results; other columns of docs may have any name.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(refs)
     counts = "".join(f"{n} long, " for n in COUNTS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in slices(batch.column(0), _TEXT_BYTES):
                 own = batch.slice(first, len(texts))
@@ -246,7 +264,12 @@ def judge(docs: DataFrame, refs: References, keep: tuple[str, ...], text: str =
                 yield pa.RecordBatch.from_arrays([*own.columns[2:], *map(pa.array, out.values())], [*keep, *out])
 
     schema = schema_of(docs, keep, f"{counts}class_distance double, word_distance double, base_failed boolean, kept boolean")
-    return docs.select(F.col(text).alias("_text"), F.col(lang).alias("_lang"), *keep).mapInArrow(run, schema)
+    columns, parts = docs.select(F.col(text).alias("_text"), F.col(lang).alias("_lang"), *keep), []
+    for k in range(refs.blocks):
+        shared = docs.sparkSession.sparkContext.broadcast(refs.block(k))
+        own = columns.where(_block(F.col("_lang"), refs.blocks) == k) if refs.blocks > 1 else columns
+        parts.append(own.mapInArrow(partial(run, shared=shared), schema))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:

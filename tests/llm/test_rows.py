@@ -134,6 +134,20 @@ def test_texts_without_common_words_of_their_language_fail(spark):
     assert all(kept == (k < 5000) for k, kept in out.items())
 
 
+@pytest.mark.parametrize("block", [500, 1])
+def test_small_languages_have_references_of_their_own(spark, monkeypatch, block):
+    monkeypatch.setattr(quality, "_BLOCK_LANGS", block)
+    rng = random.Random(4)
+    english, russian, letters = "the of and to in is that because without everything".split(), "и в не на что который потому человек сегодня однако".split(), "оеаинтсрвлкм"
+    rows = [(k, _prose(rng, english, "etaoinshrdlu", 10000), "en") for k in range(200)]
+    rows += [(1000 + k, _prose(rng, russian, letters, 100), "ru") for k in range(80)]  # 0.4 % of the words
+    rows += [(2000, _prose(rng, russian, letters, 100), "bg"), (2001, _prose(rng, russian, letters, 100), None), (2002, _prose(rng, english, "etaoinshrdlu", 100), "ru")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    refs = quality.language_references(docs)
+    out = {r.doc_id: r.kept for r in quality.judge(docs, refs, ("doc_id",)).collect()}
+    assert out == {k: k != 2002 for k, _, _ in rows} and refs.blocks == (2 if block == 1 else 1)
+
+
 def test_distance():
     p, q = np.array([1.0, 0, 1]), np.array([0, 2.0, 0])
     assert quality.distance(p, p * 7) == 0 and quality.distance(p, q) == pytest.approx(1) and quality.distance(p, p * 0) == 0
