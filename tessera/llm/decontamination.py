@@ -5,13 +5,15 @@ placeholders, all other words are lower-cased and stand for themselves. Names ar
 sentence, up to four in a row as one; longer rows and neighbours in capitals throughout are headings and shouts.
 
 Windows of eight template tokens are looked up in a hash table of the benchmark's windows. Hits of one document
-and item that keep their distance are one alignment; its slots are checked: one item value must stand for one
+and item that keep their distance, or whose distances differ by a few tokens while both go forward, are one
+alignment, so that a word put in or left out doesn't split a copy; its slots are checked: one item value must stand for one
 value of the document throughout and the other way round. Windows over a slot that breaks this don't count. A
 copy maps every value to itself, a re-parameterised question to others, and both are caught.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,6 +36,9 @@ WINDOW, LITERALS, LEAST_TOKENS = 8, 4, 5
 #: An item is in a document if this share of its windows match in one alignment, or windows over so many tokens do.
 COVERAGE, LONG_RUN = 0.5, 20
 
+#: Tokens put in or left out within one alignment.
+SLIP = 4
+
 #: Words of the benchmark that one pass over the documents takes; a larger benchmark takes more passes.
 _BLOCK_WORDS = 2_000_000
 
@@ -61,7 +66,7 @@ class Template:
 
 def canonical(texts: pa.Array) -> Template:
     texts = pc.replace_substring_regex(pc.fill_null(texts, ""), r"([0-9])([A-Za-z%$€£])", r"\1 \2")
-    texts = pc.replace_substring_regex(texts, r"([$€£])([0-9])", r"\2")
+    texts = pc.replace_substring_regex(texts, r"([$€£])([0-9]([0-9.,:/]*[0-9])?)", r"\2 \1")  # as "3 dollars", a number and a unit
     lists = pc.ascii_split_whitespace(pc.replace_substring(texts, "\n", " \x02 "))
     begins = np.asarray(lists.offsets).astype(np.int64)
     coded = lists.values[begins[0] : begins[-1]].dictionary_encode()
@@ -117,6 +122,21 @@ def window_hashes(t: Template, width: int) -> tuple[np.ndarray, np.ndarray, np.n
     return owner[at], at, out
 
 
+def _chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest run of (document token, item token) in which both go forward."""
+    pairs = sorted(pairs, key=lambda x: (x[1], -x[0]))
+    tails, ends, before = [], [], []
+    for n, (p, _) in enumerate(pairs):
+        k = bisect_left(tails, p)
+        before.append(ends[k - 1] if k else -1)
+        tails[k:], ends[k:] = [p, *tails[k + 1 :]], [n, *ends[k + 1 :]]
+    out, n = [], ends[-1] if ends else -1
+    while n >= 0:
+        out.append(pairs[n])
+        n = before[n]
+    return out[::-1]
+
+
 class BenchmarkTable:
     """A hash table of a block of items' template windows."""
 
@@ -151,22 +171,24 @@ class BenchmarkTable:
 
     def match(self, t: Template, item: int, hits: list[tuple[int, int]]) -> tuple[int, int, int] | None:
         """(matching windows, slots, slots with another value) of the best alignment if the item is in the text."""
-        width, aligned, best = int(self.widths[item]), defaultdict(set), None
+        width, kind, value, aligned, best = int(self.widths[item]), self.template.kind, self.template.value, defaultdict(set), None
         for p, j in hits:
             aligned[p - j].add(j)
-        for shift, starts in aligned.items():
-            places = sorted({j + k for j in starts for k in range(width)})
-            slots = [j for j in places if self.template.kind[j] != _LITERAL]
-            pairs = Counter((int(self.template.kind[j]), int(self.template.value[j]), int(t.value[j + shift])) for j in slots)
+        near = [[x for x in range(s - SLIP, s + SLIP + 1) if x in aligned] for s in aligned]
+        chains = [[(j + s, j) for j in starts] for s, starts in aligned.items()] + [_chain([(j + s, j) for s in x for j in aligned[s]]) for x in near if len(x) > 1]
+        for chain in chains:
+            places = sorted({(j + k, p + k) for p, j in chain for k in range(width)})
+            slots = [(j, p) for j, p in places if kind[j] != _LITERAL]
+            pairs = Counter((int(kind[j]), int(value[j]), int(t.value[p])) for j, p in slots)
             forth, back = {}, {}
-            for (kind, a, b), _ in pairs.most_common():
-                forth.setdefault((kind, a), b)
-                back.setdefault((kind, b), a)
-            broken = {j for j in slots if forth[int(self.template.kind[j]), int(self.template.value[j])] != int(t.value[j + shift]) or back[int(self.template.kind[j]), int(t.value[j + shift])] != int(self.template.value[j])}
-            sound = [j for j in starts if not any(j + k in broken for k in range(width))]
-            covered = len({j + k for j in sound for k in range(width)})
+            for (of, a, b), _ in pairs.most_common():
+                forth.setdefault((of, a), b)
+                back.setdefault((of, b), a)
+            broken = {(j, p) for j, p in slots if forth[int(kind[j]), int(value[j])] != int(t.value[p]) or back[int(kind[j]), int(t.value[p])] != int(value[j])}
+            sound = [(p, j) for p, j in chain if not any((j + k, p + k) in broken for k in range(width))]
+            covered = len({j + k for _, j in sound for k in range(width)})
             if sound and (len(sound) >= COVERAGE * self.counts[item] or covered >= LONG_RUN):
-                changed = sum(int(self.template.value[j]) != int(t.value[j + shift]) for j in slots if j not in broken)
+                changed = sum(int(value[j]) != int(t.value[p]) for j, p in slots if (j, p) not in broken)
                 best = max(best or (0, 0, 0), (len(sound), len(slots), changed))
         return best
 

@@ -154,6 +154,20 @@ def test_inconsistent_slots_break_windows():
     assert broken[0] < same[0] and same[2] == 2
 
 
+def _found(item, text):
+    return [x[2] for x in decontamination.BenchmarkTable([(1, item)]).found(pa.array(["some words before it " + text + " and some after"]))]
+
+
+def test_a_word_put_in_or_left_out_does_not_hide_a_copy():
+    item = "which of these gentle animals sleeps through every cold winter under the frozen northern ground while its small young wait quietly for spring"
+    words = item.split()
+    for k in range(4, len(words) - 4):
+        assert _found(item, " ".join([*words[:k], "surely", *words[k:]])) and _found(item, " ".join([*words[:k], *words[k + 1 :]]))
+    priced = "the old trader sells apples at 3 dollars for each small basket near the harbour"
+    assert _found(priced, priced.replace("3 dollars", "$3")) and _found(priced.replace("3 dollars", "$3"), priced.replace("3", "5"))
+    assert not _found(item, " ".join(words[12:] + words[:8]))
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(11)
     common = "the of and to in a is that it was for on are with as his they at be this from have or by one had not but what all were when we there can".split()
