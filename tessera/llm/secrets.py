@@ -28,8 +28,15 @@ _BASE = (
     ("hex", re.compile(r"[0-9a-f]{24,}"), 0, 24),  # runs are maximal, so shorter ones need not be matched to be dropped
 )
 
-#: Candidates of the novelty scan: a sensitive word, a little in between, and a string of 16 characters or more.
-_SENSITIVE = re.compile(r"(?:passw|pwd|secret|token|key|auth|bearer|credential|private|signature|session)[^\n]{0,24}?(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_=-]{16,})", re.ASCII | re.IGNORECASE)
+#: Candidates of the novelty scan: a sensitive word, a little in between or the end of its line, and a string of 16 characters or more. Dots join parts and '=' pads at the end.
+_SENSITIVE = re.compile(
+    r"(?:passw|pwd|secret|token|key|auth|bearer|credential|private|signature|session)[^\n]{0,24}?(?:\n[\x20\t]*(?:-\x20+)?[\"'`]?)?"
+    r"(?<![A-Za-z0-9+/_.-])([A-Za-z0-9+/_-][A-Za-z0-9+/_.-]{14,}[A-Za-z0-9+/_-]={0,2})",
+    re.ASCII | re.IGNORECASE,
+)
+
+#: What stands before a value that is given to a name; there strings of letters alone are candidates too. Elsewhere they are long words.
+_GIVEN = re.compile(r"(?:[:=]\s*[\"'`]?|[\"'`])\Z")
 
 #: Characters of surroundings on either side, and the least share of a candidate's length that must be new.
 _AROUND, _NOVEL = 256, 0.7
@@ -70,12 +77,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def novel_spans(text: str) -> list[tuple[int, int, int]]:
-    """Candidates that hold letters and digits and are new to their surroundings; a base span may lie there too."""
+    """Candidates that hold a digit, or are letters given to a name, and are new to their surroundings; a base span may lie there too."""
     out = []
     for m in _SENSITIVE.finditer(text):
         start, end = m.span(1)
         candidate = m[1]
-        if not re.search("[0-9]", candidate) or not re.search("[A-Za-z]", candidate):
+        if not re.search("[0-9]", candidate) and not (_GIVEN.search(text[max(0, start - 4) : start]) and re.search("[A-Za-z]", candidate)):
             continue
         if marginal_bytes(text[max(0, start - _AROUND) : start], candidate, text[end : end + _AROUND]) >= _NOVEL * len(candidate):
             out.append((start, KINDS.index("novel"), end))
