@@ -9,6 +9,8 @@ and item that keep their distance, or whose distances differ by a few tokens whi
 alignment, so that a word put in or left out doesn't split a copy; its slots are checked: one item value must stand for one
 value of the document throughout and the other way round. Windows over a slot that breaks this don't count. A
 copy maps every value to itself, a re-parameterised question to others, and both are caught.
+
+Items none of whose windows has enough literal words are looked up word by word, with their values as they are.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from tessera.llm.common import table
 from tessera.llm.shingles import mixed
 from tessera.llm.token_ids import slices
 
-#: Window, the fewest literal words in one, and the fewest template tokens of an item (shorter ones can't be told from chance).
+#: Window, the fewest literal words in one, and the fewest tokens of an item (shorter ones can't be told from chance).
 WINDOW, LITERALS, LEAST_TOKENS = 8, 4, 5
 
 #: An item is in a document if this share of its windows match in one alignment, or windows over so many tokens do.
@@ -64,7 +66,8 @@ class Template:
     kind: np.ndarray
 
 
-def canonical(texts: pa.Array) -> Template:
+def canonical(texts: pa.Array) -> tuple[Template, Template]:
+    """The template tokens of texts, and all their words, lower-cased, as literal ones."""
     texts = pc.replace_substring_regex(pc.fill_null(texts, ""), r"([0-9])([A-Za-z%$€£])", r"\1 \2")
     texts = pc.replace_substring_regex(texts, r"([$€£])([0-9]([0-9.,:/]*[0-9])?)", r"\2 \1")  # as "3 dollars", a number and a unit
     lists = pc.ascii_split_whitespace(pc.replace_substring(texts, "\n", " \x02 "))
@@ -104,7 +107,8 @@ def canonical(texts: pa.Array) -> Template:
     keep = word & ~(name & np.append(name[1:], False)[: len(index)] & ~first[1:])  # of a run of names, the last
     slot = np.array([0, 1, 2, 3], np.uint64)[kind]
     token = np.where(kind == _LITERAL, value, mixed(slot))
-    return Template(np.concatenate([[0], np.cumsum(keep)])[begins], token[keep], value[keep], kind[keep])
+    plain = np.concatenate([[0], np.cumsum(word)])[begins], value[word], value[word], np.full(int(word.sum()), _LITERAL)
+    return Template(np.concatenate([[0], np.cumsum(keep)])[begins], token[keep], value[keep], kind[keep]), Template(*plain)
 
 
 def window_hashes(t: Template, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,15 +141,13 @@ def _chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-class BenchmarkTable:
-    """A hash table of a block of items' template windows."""
+class WindowTable:
+    """A hash table of the windows of items, those that are wanted."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
-        self.ids = [i for i, _ in items]
-        self.template = canonical(pa.array([x for _, x in items], pa.string()))
-        sizes = np.diff(self.template.begins)
-        self.widths = np.where(sizes >= LEAST_TOKENS, np.minimum(sizes, WINDOW), 0)
-        self.tables, self.counts = {}, np.zeros(len(items), np.int64)
+    def __init__(self, template: Template, wanted: np.ndarray):
+        self.template, sizes = template, np.diff(template.begins)
+        self.widths = np.where(wanted & (sizes >= LEAST_TOKENS), np.minimum(sizes, WINDOW), 0)
+        self.tables, self.counts = {}, np.zeros(len(sizes), np.int64)
         for width in sorted(set(self.widths.tolist()) - {0}):
             item, at, key = window_hashes(self.template, width)
             own = self.widths[item] == width
@@ -169,8 +171,8 @@ class BenchmarkTable:
                     out[int(text[k]), int(items[j])].append((int(at[k]), int(places[j])))
         return out
 
-    def match(self, t: Template, item: int, hits: list[tuple[int, int]]) -> tuple[int, int, int] | None:
-        """(matching windows, slots, slots with another value) of the best alignment if the item is in the text."""
+    def match(self, t: Template, item: int, hits: list[tuple[int, int]]) -> tuple[int, int, int, int] | None:
+        """(matching windows, slots, slots with another value, all windows) of the best alignment if the item is in the text."""
         width, kind, value, aligned, best = int(self.widths[item]), self.template.kind, self.template.value, defaultdict(set), None
         for p, j in hits:
             aligned[p - j].add(j)
@@ -189,14 +191,27 @@ class BenchmarkTable:
             covered = len({j + k for _, j in sound for k in range(width)})
             if sound and (len(sound) >= COVERAGE * self.counts[item] or covered >= LONG_RUN):
                 changed = sum(int(value[j]) != int(t.value[p]) for j, p in slots if (j, p) not in broken)
-                best = max(best or (0, 0, 0), (len(sound), len(slots), changed))
+                best = max(best or (0, 0, 0, 0), (len(sound), len(slots), changed, int(self.counts[item])))
         return best
 
-    def found(self, texts: pa.Array) -> list[tuple[int, int, tuple[int, int, int]]]:
-        """(text, item, match) for every item in every text."""
-        t = canonical(texts)
-        matched = ((text, item, self.match(t, item, hits)) for (text, item), hits in sorted(self.hits(t).items()))
-        return [x for x in matched if x[2]]
+
+class BenchmarkTable:
+    """Window tables of a block of items: by template, and by words for items without a window by template."""
+
+    def __init__(self, items: list[tuple[int | None, str | None]]):
+        self.ids = [i for i, _ in items]
+        template, words = canonical(pa.array([x for _, x in items], pa.string()))
+        self.by_template = WindowTable(template, np.ones(len(items), bool))
+        self.by_words = WindowTable(words, self.by_template.counts == 0)
+
+    def found(self, texts: pa.Array) -> list[tuple[int, int, tuple[int, int, int, int]]]:
+        """(text, item, match) for every item in every text; a match by template comes before one by words."""
+        out = {}
+        for known, t in zip((self.by_template, self.by_words), canonical(texts)):
+            for at, hits in known.hits(t).items():
+                if at not in out and (m := known.match(t, at[1], hits)):
+                    out[at] = m
+        return [(*at, m) for at, m in sorted(out.items())]
 
 
 def benchmark_tables(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[BenchmarkTable]:
@@ -215,7 +230,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     """One row per document and benchmark item in it: doc_id, item_id, matching windows of the item and all its windows, slots of the alignment and those whose value differs.
 
     Whole documents are scanned where they are read, once for each block of the benchmark; nothing is shuffled.
-    Null and empty texts match nothing, nor do items of fewer than five template tokens; repeated rows and
+    Null and empty texts match nothing, nor do items of fewer than five words; repeated rows and
     repeated items match each for itself. An empty benchmark gives no rows. Other columns may have any name.
     """
     columns = docs.select(F.col(text).alias("_text"), F.col(doc_id).alias("doc_id"))
@@ -230,7 +245,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
                 for first, texts in slices(batch.column(0)):
                     found = known.found(texts)
                     ids = batch.column(1).take(pa.array([first + k for k, _, _ in found], pa.int64()))
-                    rows = [(known.ids[i], m[0], int(known.counts[i]), m[1], m[2]) for _, i, m in found]
+                    rows = [(known.ids[i], m[0], m[3], m[1], m[2]) for _, i, m in found]
                     values = list(zip(*rows)) or [[]] * 5
                     yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in values)], ["doc_id", *(x.split()[0] for x in _LEAKS.split(", "))])
 

@@ -168,6 +168,11 @@ def test_a_word_put_in_or_left_out_does_not_hide_a_copy():
     assert not _found(item, " ".join(words[12:] + words[:8]))
 
 
+def test_items_of_numbers_and_names_are_found_as_they_are():
+    for item in ("What is 37 + 48 - 19 * 6 / 2", "convert 12 km 5 m to miles"):
+        assert _found(item, item) and not _found(item, item.replace("2", "9"))
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(11)
     common = "the of and to in a is that it was for on are with as his they at be this from have or by one had not but what all were when we there can".split()
