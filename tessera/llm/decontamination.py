@@ -10,7 +10,8 @@ alignment, so that a word put in or left out doesn't split a copy; its slots are
 value of the document throughout and the other way round. Windows over a slot that breaks this don't count. A
 copy maps every value to itself, a re-parameterised question to others, and both are caught.
 
-Items none of whose windows has enough literal words are looked up word by word, with their values as they are.
+All items are looked up word by word too, in lower case and with their values as they are. That finds copies in which
+case or line breaks make other words names, and items none of whose windows has enough literal words.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ COVERAGE, LONG_RUN = 0.5, 20
 #: Tokens put in or left out within one alignment.
 SLIP = 4
 
-#: Words of the benchmark that one pass over the documents takes; a larger benchmark takes more passes.
-_BLOCK_WORDS = 2_000_000
+#: Words of the benchmark that one pass over the documents takes, in two tables; a larger benchmark takes more passes.
+_BLOCK_WORDS = 1_000_000
 
 #: Words that are units after a number.
 UNITS = frozenset(
@@ -142,11 +143,11 @@ def _chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 class WindowTable:
-    """A hash table of the windows of items, those that are wanted."""
+    """A hash table of the windows of items."""
 
-    def __init__(self, template: Template, wanted: np.ndarray):
+    def __init__(self, template: Template):
         self.template, sizes = template, np.diff(template.begins)
-        self.widths = np.where(wanted & (sizes >= LEAST_TOKENS), np.minimum(sizes, WINDOW), 0)
+        self.widths = np.where(sizes >= LEAST_TOKENS, np.minimum(sizes, WINDOW), 0)
         self.tables, self.counts = {}, np.zeros(len(sizes), np.int64)
         for width in sorted(set(self.widths.tolist()) - {0}):
             item, at, key = window_hashes(self.template, width)
@@ -196,13 +197,12 @@ class WindowTable:
 
 
 class BenchmarkTable:
-    """Window tables of a block of items: by template, and by words for items without a window by template."""
+    """Window tables of a block of items: by template and by words."""
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
         self.ids = [i for i, _ in items]
         template, words = canonical(pa.array([x for _, x in items], pa.string()))
-        self.by_template = WindowTable(template, np.ones(len(items), bool))
-        self.by_words = WindowTable(words, self.by_template.counts == 0)
+        self.by_template, self.by_words = WindowTable(template), WindowTable(words)
 
     def found(self, texts: pa.Array) -> list[tuple[int, int, tuple[int, int, int, int]]]:
         """(text, item, match) for every item in every text; a match by template comes before one by words."""

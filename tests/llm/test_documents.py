@@ -173,6 +173,13 @@ def test_items_of_numbers_and_names_are_found_as_they_are():
         assert _found(item, item) and not _found(item, item.replace("2", "9"))
 
 
+def test_copies_in_another_case_or_with_other_lines_are_found():
+    item = "the capital of France lies on the Seine and was home to Victor Hugo"
+    for text in (item, item.lower(), item.upper(), item.title(), item.replace(" France", "\nFrance").replace(" Victor", "\nVictor")):
+        assert _found(item, text)
+    assert not _found(item, "the capital of a land lies on a river and was home to many poets")
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(11)
     common = "the of and to in a is that it was for on are with as his they at be this from have or by one had not but what all were when we there can".split()
