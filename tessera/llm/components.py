@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.llm.common import stored
@@ -30,12 +30,18 @@ def components(links: DataFrame) -> DataFrame:
     a count and a checksum come to the driver.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    state = None
+    edges, state = _written(edges)
     while True:
-        edges = stored(_small_star(_large_star(edges)), "components")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first())
+        edges, now = _written(_small_star(_large_star(edges)))
         if now == state:
             break
         state = now
     pairs = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return pairs.unionByName(pairs.select(F.col("component").alias("node"), "component").distinct())
+
+
+def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The stored edges, with their count and a checksum that are taken while they are written."""
+    seen = Observation()
+    kept = stored(edges.observe(seen, F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31))).alias("sum")), "components")
+    return kept, seen.get

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.decontamination import op3_benchmark_leaks
-from tessera.llm.near_dup import op4_near_duplicates
+from tessera.llm.near_dup import OP4_SQL, op4_near_duplicates
 from tessera.llm.packing import op1_packed_pieces
 from tessera.llm.quality import op8_quality_rules
 from tessera.llm.records import op10_record_files
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_record_files": op10_record_files,
 }
 
-ORACLE_SQL = {"op5_url_verdicts": OP5_SQL, "op9_warc_records": OP9_SQL}
+ORACLE_SQL = {"op4_near_duplicates": OP4_SQL, "op5_url_verdicts": OP5_SQL, "op9_warc_records": OP9_SQL}

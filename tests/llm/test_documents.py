@@ -67,22 +67,79 @@ def _got(spark, texts, **more):
     return {r.doc_id: r for r in near_dup.near_duplicates(docs, **more).collect()}
 
 
-@pytest.mark.parametrize("block", [2048, 4])
-def test_components_of_near_copies(spark, monkeypatch, block):
-    monkeypatch.setattr(near_dup, "_BLOCK_DOCS", block)
-    texts = _families() if block == 2048 else {k: x for k, x in enumerate(["a b c d e f g h i j k l m n o p q r s t u v w x y z " * 2 + f"one two {k % 9}" for k in range(30)])}
-    want, got = _components(texts), _got(spark, texts)
-    assert {k: r.component_id for k, r in got.items()} == want
-    assert all(r.n_shingles == len(_set(texts[k], 4)) and r.kept == (k == r.component_id) for k, r in got.items())
+def _sections(seed=8, n=40):
+    """Texts that share most of a form, some of them linked and some not, in buckets with many components."""
+    rng = random.Random(seed)
+    form = [f"f{k}" for k in range(60)]
+    return {k: " ".join(form + [f"own{k}x{j}" for j in range(rng.choice([4, 8, 12, 16, 20, 30]))]) for k in range(n)}
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_components_of_near_copies(spark, monkeypatch, small):
+    if small:  # many blocks and copies of pivots, and no further stars, or many
+        monkeypatch.setattr(near_dup, "_BLOCK_DOCS", 4)
+        monkeypatch.setattr(near_dup, "_STAR_BITS", 1)
+    for texts, pairs in ((_families(), 64), (_sections(), 1 << 40), (_sections(), 0)) if small else ((_families(), 64),):
+        monkeypatch.setattr(near_dup, "_STAR_PAIRS", pairs)
+        want, got = _components(texts), _got(spark, texts)
+        assert {k: r.component_id for k, r in got.items()} == want
+        assert all(r.n_shingles == len(_set(texts[k], 4)) and r.kept == (k == r.component_id) for k, r in got.items())
+
+
+def test_work_on_near_copies_of_one_text_grows_in_proportion(spark, monkeypatch):
+    """What is written on the way, by table and number of copies; a few documents beside them share their buckets."""
+    written, whole = {}, near_dup.stored
+
+    def counted(df, name):
+        out = whole(df, name)
+        written[n][name] = written[n].get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_dup, "stored", counted)
+    monkeypatch.setattr(near_dup, "_BLOCK_DOCS", 32)
+    monkeypatch.setattr(near_dup, "_STAR_BITS", 4)
+    base, rng = [f"w{k}" for k in range(200)], random.Random(6)
+    for n in (300, 600):
+        written[n], texts = {}, {}
+        for k in range(n):
+            words = list(base)
+            words[rng.randrange(200)] = f"changed{k}"
+            texts[k] = " ".join(words if k % 60 or k >= 300 else words[:150] + [f"else{k}x{j}" for j in range(60)])
+        assert all(r.component_id == (1 if k % 60 or k >= 300 else k) for k, r in _got(spark, texts).items())
+    for name in ("stars", "links", "candidates", "mixed"):
+        assert written[600].get(name, 0) < 2.6 * (written[300].get(name, 0) + 32), (name, written)
+    assert written[600]["links"] < 2 * 600
+
+
+def test_sql_gives_the_components(spark, tmp_path):
+    import duckdb
+
+    texts = _families(n=30) | {1000: None, 1001: "", 1002: " one ", 1003: "ONE", 1004: "a b\x0bc"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(con.sql(near_dup.OP4_SQL).fetchall()) == sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.op4_near_duplicates(spark, str(tmp_path)).collect())
 
 
 def test_near_duplicates_of_odd_documents(spark, odd_docs):
-    rows = near_dup.near_duplicates(odd_docs).collect()
-    named = {r.doc_id: r.text for r in odd_docs.collect() if r.doc_id is not None}
-    want = _components(named)
-    assert len(rows) == odd_docs.count()
-    assert all(r.component_id == want[r.doc_id] for r in rows if r.doc_id is not None)
-    assert sorted((r.component_id is None, r.kept) for r in rows if r.doc_id is None) == [(False, False), (True, True)]
+    rows, all_docs = near_dup.near_duplicates(odd_docs).collect(), odd_docs.collect()
+    want = _components({k: r.text for k, r in enumerate(all_docs)})
+    ids = {}
+    for k, head in want.items():
+        ids.setdefault(head, []).append(all_docs[k].doc_id)
+    least = {head: min((x for x in v if x is not None), default=None) for head, v in ids.items()}
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in rows) == Counter((all_docs[k].doc_id, least[h], all_docs[k].doc_id == least[h]) for k, h in want.items())
+
+
+def test_one_row_of_each_component_stays(spark, odd_docs):
+    near = "the small boat sailed past nine quiet islands on its long way home that day".split()
+    rows = [(1, " ".join(near)), (2, " ".join([*near, "again"])), (2, "a text of its own that nobody else has"), (3, "two rows of one id"), (3, "but with other texts altogether"), (3, "two rows of one id"), (None, " ".join(near)), (None, "alone without an id"), (None, None), (4, ""), (4, "")]
+    docs = spark.createDataFrame([(*r, k, "x") for k, r in enumerate(rows)], "doc_id long, text string, c0 int, `a.b` string")
+    kept = near_dup.without_near_duplicates(docs)
+    assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+    got = sorted(r.c0 for r in kept.collect())
+    assert got[0] == 0 and [x for x in got if x not in (3, 5)] == [0, 2, 4, 7, 8, 9, 10] and len(got) == 8
+    assert near_dup.without_near_duplicates(odd_docs.limit(0)).count() == 0
 
 
 def test_estimates_follow_similarity():
