@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from pathlib import Path
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
@@ -11,24 +11,32 @@ from tessera.session import session
 from tessera.sources.tables import register
 
 
-def run_statement(spark: SparkSession, statement: str, rows: int = 100) -> str:
-    """What a statement gives: its first rows as a table, or its error's first line."""
+def run_statement(spark: SparkSession, statement: str) -> Iterator[str]:
+    """The lines that a statement gives: its columns, all its rows one partition after the other, and their number; or its error's first line."""
     try:
         df = spark.sql(statement.rstrip().rstrip(";"))
+        if not df.columns:
+            yield "done"
+            return
+        yield "\t".join(df.columns)
+        n = 0
+        for row in df.toLocalIterator():
+            n += 1
+            yield "\t".join(map(str, row))
+        yield f"{n} records"
     except Exception as error:  # shown to whoever typed the statement
-        return str(error).splitlines()[0]
-    shown = df.limit(rows).toPandas()
-    return f"{shown.to_string(index=False)}\n{len(shown)} records" if len(df.columns) else "done"
+        yield str(error).splitlines()[0]
 
 
 def main(folder: str) -> None:
     spark = session()
-    register(spark, folder, *(p.stem for p in Path(folder).glob("*.parquet")))
+    register(spark, folder)
     for line in sys.stdin:
         if line.strip().lower() == "exit":
             break
         if line.strip():
-            print(run_statement(spark, line), flush=True)
+            for out in run_statement(spark, line):
+                print(out, flush=True)
 
 
 if __name__ == "__main__":
