@@ -26,10 +26,10 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tessera.llm.common import schema_of, stored, table
+from tessera.llm.common import filesystem, schema_of, stored, table
 from tessera.llm.components import components
 from tessera.llm.shingles import distinct_shingles, mixed
 from tessera.llm.token_ids import slices
@@ -44,8 +44,8 @@ _BLOCK_DOCS, _BLOCK_SHINGLES = 512, 2_000_000
 #: Documents of a bucket that a copy of its pivot serves, as a power of two.
 _STAR_BITS = 8
 
-#: The rest goes to further rounds of stars, at most so many, while it has more than so many pairs a document.
-_STAR_ROUNDS, _STAR_PAIRS = 6, 64
+#: The rest goes to further rounds of stars while it has more than so many pairs a document and a round halves them.
+_STAR_PAIRS = 4096
 
 _PACKED = [f"b{k}" for k in range(_WORDS)]
 
@@ -194,7 +194,7 @@ def _groups(batches: Iterator[pa.RecordBatch], sets: bool = False, width: int =
 
 
 def _links(m: _Members, percent: int, least: float) -> list[tuple[int, int]]:
-    """A forest of the group's confirmed links between components."""
+    """A forest of the group's confirmed links, as pairs of the components that they join."""
     label, out = m.label.copy(), []
     for x in m.firsts():
         may = m.partners(x, percent, least)
@@ -205,8 +205,8 @@ def _links(m: _Members, percent: int, least: float) -> list[tuple[int, int]]:
         both = _shared(own, np.concatenate([m.sets[y] for y in may]), sizes)
         for y in may[100 * both >= percent * (len(own) + sizes - both)]:
             if label[y] != label[x]:
+                out.append((int(m.label[x]), int(m.label[y])))
                 label[label == label[y]] = label[x]
-                out.append((int(m.row[x]), int(m.row[y])))
     return out
 
 
@@ -228,7 +228,62 @@ def signatures(docs: DataFrame, doc_id: str, text: str, width: int, keep: tuple[
     return columns.mapInArrow(sign, schema_of(columns, columns.columns, f"size long, set_a long, set_b long, {', '.join(f'{w} long' for w in _PACKED)}, keys binary"))
 
 
-def star_links(pairs: DataFrame, heads: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+class Texts:
+    """The texts of signatures, by row. The table's files hold rows in ascending order, and a row's upper bits tell its file's task.
+
+    Rows that need their texts are sent to the files that hold these, one task a file, so that no other text leaves its file.
+    """
+
+    def __init__(self, signed: DataFrame):
+        self.files = stored(signed.select(F.shiftright("row", 33).alias("_task"), F.input_file_name().alias("_file")).distinct(), "files")
+
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """wanted, of which row is a column, with text."""
+        names = wanted.columns
+        found = wanted.withColumn("_task", F.shiftright("row", 33)).join(self.files, "_task").select("row", "_file", *(c for c in names if c != "row"))
+
+        def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            path, reader = None, None
+            for batch in batches:
+                files = batch.column(1).dictionary_encode()
+                cuts = np.flatnonzero(np.diff(np.asarray(files.indices), prepend=-1)).tolist() + [batch.num_rows]
+                for a, b in zip(cuts, cuts[1:]):
+                    if path != files[a].as_py():
+                        path = files[a].as_py()
+                        reader = _RowReader(path)
+                    at = a
+                    for texts in reader.texts(np.asarray(batch.column(0).slice(a, b - a))):
+                        own = batch.slice(at, len(texts))
+                        yield pa.RecordBatch.from_arrays([*(own.column(c) for c in names), texts], [*names, "text"])
+                        at += len(texts)
+
+        dealt = found.repartition("_file").sortWithinPartitions("_file", "row")
+        return dealt.mapInArrow(fetch, schema_of(found, names, "text string"))
+
+
+class _RowReader:
+    """Reads a file of rows forward, a small batch at a time."""
+
+    def __init__(self, path: str):
+        from pyarrow import parquet
+
+        fs, at = filesystem(path)
+        self.batches = parquet.ParquetFile(fs.open_input_file(at)).iter_batches(512, columns=["row", "text"])
+        self.rows, self.held = np.empty(0, np.int64), None
+
+    def texts(self, wanted: np.ndarray) -> Iterator[pa.Array]:
+        """The texts of ascending rows, which must not lie before those asked for earlier, in parts."""
+        done = 0
+        while done < len(wanted):
+            while not len(self.rows) or self.rows[-1] < wanted[done]:
+                self.held = next(self.batches)
+                self.rows = np.asarray(self.held.column(0))
+            end = int(np.searchsorted(wanted, self.rows[-1], "right"))
+            yield self.held.column(1).take(pa.array(np.searchsorted(self.rows, wanted[done:end])))
+            done = end
+
+
+def star_links(pairs: DataFrame, heads: DataFrame, texts: Texts, width: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) of documents with the likeliest of their pivots, among pairs (row, pivot, docs): docs is how many documents share that pivot in a bucket.
 
     A pivot is dealt out in so many copies that each serves about 2**_STAR_BITS documents of a bucket. A document that
@@ -266,7 +321,7 @@ def star_links(pairs: DataFrame, heads: DataFrame, texts: DataFrame, width: int,
                         yield pa.RecordBatch.from_arrays([pa.array(pivot[good]), pa.array(row[good])], ["a", "b"])
 
     wanted = near.unionByName(near.select("pivot", "copy", F.col("pivot").alias("row")).distinct())
-    full = wanted.join(texts, "row").select("pivot", "copy", "row", "text", (F.col("row") != F.col("pivot")).alias("_later"))
+    full = texts.of(wanted.select("pivot", "copy", "row")).withColumn("_later", F.col("row") != F.col("pivot"))
     dealt = full.repartition("pivot", "copy").sortWithinPartitions("pivot", "copy", "_later").select("pivot", "copy", "row", "text")
     return stored(dealt.mapInArrow(confirm, "a long, b long"), "links")
 
@@ -292,8 +347,8 @@ def _more_stars(mixed_rows: DataFrame, turn: int) -> DataFrame:
     return both.select("row", F.col("inner").alias("pivot"), "docs").unionByName(both.where("label <> outer_label").select("row", F.col("outer").alias("pivot"), "docs"))
 
 
-def rest_links(mixed_rows: DataFrame, heads: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between components that share a bucket, from all pairs of which one lies beside the bucket's largest component."""
+def rest_links(mixed_rows: DataFrame, heads: DataFrame, texts: Texts, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of components with a confirmed link, of those that share a bucket, from all pairs of which one lies beside the bucket's largest component."""
     least = _least_estimate(percent)
 
     def blocks(docs: Column) -> Column:
@@ -346,33 +401,49 @@ def rest_links(mixed_rows: DataFrame, heads: DataFrame, texts: DataFrame, width:
             if found := _links(m, percent, least):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
 
-    full = chosen.join(texts, "row").select(*_GROUP_NAMES, "text")
+    full = texts.of(chosen)
     return stored(full.repartition("group").sortWithinPartitions("group", "side", "row").mapInArrow(confirm, "a long, b long"), "links")
 
 
+def _roots(parents: DataFrame) -> DataFrame:
+    """(node, component) of links (a, b) with one a, a smaller one, for each b: every node with the end of its path, by doubling its steps."""
+    ends = parents.select(F.col("b").alias("node"), F.col("a").alias("component"))
+    while True:
+        following = ends.select(F.col("node").alias("component"), F.col("component").alias("_end"))
+        moved, seen = ends.join(following, "component", "left"), Observation()
+        moved = moved.observe(seen, F.count("_end").alias("n")).select("node", F.coalesce("_end", "component").alias("component"))
+        ends = stored(moved, "ends")
+        if not seen.get["n"]:
+            break
+    return ends.unionByName(ends.select(F.col("component").alias("node"), "component").distinct())
+
+
 def near_components(signed: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """(node, component) of every representative of a class that is linked with another's."""
     heads = signed.where("size > 0").join(classes.select("set_a", "set_b", "size", F.col("head").alias("row")), ["set_a", "set_b", "size", "row"])
-    heads, texts = stored(heads.select("row", "size", *_PACKED, "keys"), "heads"), signed.select("row", "text")
+    heads, texts = stored(heads.select("row", "size", *_PACKED, "keys"), "heads"), Texts(signed)
     at = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     rows = heads.select("row", "size", "keys", at.alias("band")).select("row", "size", "band", F.expr("substring(keys, band * 8 + 1, 8)").alias("key"))
     cells = rows.groupBy("band", "key").agg(F.count("*").alias("docs"), F.min("row").alias("pivot")).where("docs > 1")
     met = stored(rows.join(cells, ["band", "key"]), "met")
     links = star_links(met.where("row <> pivot").select("row", "pivot", "docs"), heads, texts, width, percent)
-    for turn in range(_STAR_ROUNDS + 1):
-        joined = components(links)
+    joined, turn, before = _roots(links), 0, None
+    while True:
         met = _labelled(met, joined)
         n, pairs = met.agg(F.count("*"), F.sum(F.when(F.col("beside"), F.col("n_all")))).first()
         if not n:
             return joined
-        if pairs <= _STAR_PAIRS * n or turn == _STAR_ROUNDS:
-            break
-        more = star_links(_more_stars(met, turn), heads, texts, width, percent)
-        if more.isEmpty():
+        if pairs <= _STAR_PAIRS * n or before and 2 * pairs > before:
             break
-        links = stored(links.unionByName(more), "links")
+        links = links.unionByName(star_links(_more_stars(met, turn), heads, texts, width, percent))
+        joined, turn, before = components(links), turn + 1, pairs
     more = rest_links(met, heads, texts, width, percent)
-    return joined if more.isEmpty() else components(links.unionByName(more))
+    if more.isEmpty():
+        return joined
+    wider = components(more)
+    named = joined.unionByName(wider.select("node", F.col("node").alias("component"))).distinct()
+    of = wider.select(F.col("node").alias("component"), F.col("component").alias("_of"))
+    return named.join(of, "component", "left").select("node", F.coalesce("_of", "component").alias("component"))
 
 
 def _resolved(signed: DataFrame, width: int, percent: int) -> DataFrame:
