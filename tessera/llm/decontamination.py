@@ -11,13 +11,19 @@ value of the document throughout and the other way round. Windows over a slot th
 copy maps every value to itself, a re-parameterised question to others, and both are caught.
 
 All items are looked up word by word too, in lower case and with their values as they are. That finds copies in which
-case or line breaks make other words names, and items none of whose windows has enough literal words.
+case or line breaks make other words names, and items none of whose windows has enough literal words. Items of fewer
+than five words are too short for either and are looked up whole, with their values and signs: those of three words or
+signs and more anywhere in a text, shorter ones as a whole text only, since a word or two occur by chance.
+
+Equal items are looked up once, and of equal windows of an item the first stands for all. Hits are arrays; those whose
+alignment has too few others to count are dropped before any is looked at one by one, and once an alignment holds
+all of an item's windows no other is.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil
@@ -31,9 +37,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 from tessera.llm.shingles import mixed
-from tessera.llm.token_ids import slices
+from tessera.llm.token_ids import gather, slices
 
-#: Window, the fewest literal words in one, and the fewest tokens of an item (shorter ones can't be told from chance).
+#: Window, the fewest literal words in one, and the fewest tokens of an item that is looked up by windows.
 WINDOW, LITERALS, LEAST_TOKENS = 8, 4, 5
 
 #: An item is in a document if this share of its windows match in one alignment, or windows over so many tokens do.
@@ -42,6 +48,12 @@ COVERAGE, LONG_RUN = 0.5, 20
 #: Tokens put in or left out within one alignment.
 SLIP = 4
 
+#: Words and signs of an item that is found within longer texts, if it is looked up whole.
+_LEAST_WHOLE = 3
+
+#: Hits that are in memory at once, about: a worker takes the items in as many parts as that needs.
+_HITS = 4_000_000
+
 #: Words of the benchmark that one pass over the documents takes, in two tables; a larger benchmark takes more passes.
 _BLOCK_WORDS = 1_000_000
 
@@ -67,8 +79,8 @@ class Template:
     kind: np.ndarray
 
 
-def canonical(texts: pa.Array) -> tuple[Template, Template]:
-    """The template tokens of texts, and all their words, lower-cased, as literal ones."""
+def canonical(texts: pa.Array) -> tuple[Template, Template, Template]:
+    """The template tokens of texts; all their words, lower-cased, as literal ones; and these with signs that stand alone."""
     texts = pc.replace_substring_regex(pc.fill_null(texts, ""), r"([0-9])([A-Za-z%$€£])", r"\1 \2")
     texts = pc.replace_substring_regex(texts, r"([$€£])([0-9]([0-9.,:/]*[0-9])?)", r"\2 \1")  # as "3 dollars", a number and a unit
     lists = pc.ascii_split_whitespace(pc.replace_substring(texts, "\n", " \x02 "))
@@ -90,7 +102,9 @@ def canonical(texts: pa.Array) -> tuple[Template, Template]:
     line = each(pc.equal(words, "\x02"))
     stop = each(pc.match_substring_regex(words, r"[.?!:]\W*$")) | line
     word = ~line & each(pc.not_equal(core, ""))
-    value = value[index]
+    signs = np.fromiter(map(xxhash.xxh3_64_intdigest, words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
+    alone = each(pc.and_(pc.equal(core, ""), pc.and_(pc.not_equal(words, ""), pc.not_equal(words, "\x02"))))
+    value, signs = value[index], signs[index]
 
     first = np.zeros(len(index) + 1, bool)
     first[begins[:-1]] = True
@@ -109,7 +123,10 @@ def canonical(texts: pa.Array) -> tuple[Template, Template]:
     slot = np.array([0, 1, 2, 3], np.uint64)[kind]
     token = np.where(kind == _LITERAL, value, mixed(slot))
     plain = np.concatenate([[0], np.cumsum(word)])[begins], value[word], value[word], np.full(int(word.sum()), _LITERAL)
-    return Template(np.concatenate([[0], np.cumsum(keep)])[begins], token[keep], value[keep], kind[keep]), Template(*plain)
+    every = word | alone
+    whole = np.where(alone, signs, value)[every]
+    whole = np.concatenate([[0], np.cumsum(every)])[begins], whole, whole, np.full(len(whole), _LITERAL)
+    return Template(np.concatenate([[0], np.cumsum(keep)])[begins], token[keep], value[keep], kind[keep]), Template(*plain), Template(*whole)
 
 
 def window_hashes(t: Template, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,7 +160,7 @@ def _chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 class WindowTable:
-    """A hash table of the windows of items."""
+    """A hash table of the distinct windows of items."""
 
     def __init__(self, template: Template):
         self.template, sizes = template, np.diff(template.begins)
@@ -153,88 +170,157 @@ class WindowTable:
             item, at, key = window_hashes(self.template, width)
             own = self.widths[item] == width
             item, at, key = item[own], at[own], key[own]
+            order = np.lexsort((at, item, key))
+            item, at, key = item[order], at[order], key[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (item[1:] != item[:-1])
+            item, at, key = item[new], at[new], key[new]
             np.add.at(self.counts, item, 1)
-            order = np.argsort(key, kind="stable")
             sieve = np.zeros(1 << 22, bool)
             sieve[key & np.uint64((1 << 22) - 1)] = True
-            self.tables[width] = (key[order], item[order], at[order], sieve)
+            self.tables[width] = (key, item, at, sieve)
+        # An alignment counts with half of the windows, or with as many as cover a long run.
+        self.needed = np.minimum(np.ceil(COVERAGE * self.counts), np.ceil(LONG_RUN / np.maximum(1, self.widths))).astype(np.int64)
 
-    def hits(self, t: Template) -> dict[tuple[int, int], list[tuple[int, int]]]:
-        """(document token, item token) of equal windows, by (text, item)."""
-        out = defaultdict(list)
+    def hits(self, t: Template) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(text, item, document tokens, item tokens) of equal windows, by shift: those that lie with as many others as are needed within 2 * SLIP shifts."""
         for width, (keys, items, places, sieve) in self.tables.items():
             text, at, key = window_hashes(t, width)
             may = sieve[key & np.uint64((1 << 22) - 1)]
             text, at, key = text[may], at[may], key[may]
             low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-            for k in np.flatnonzero(high > low):
-                for j in range(low[k], high[k]):
-                    out[int(text[k]), int(items[j])].append((int(at[k]), int(places[j])))
-        return out
-
-    def match(self, t: Template, item: int, hits: list[tuple[int, int]]) -> tuple[int, int, int, int] | None:
-        """(matching windows, slots, slots with another value, all windows) of the best alignment if the item is in the text."""
-        width, kind, value, aligned, best = int(self.widths[item]), self.template.kind, self.template.value, defaultdict(set), None
-        for p, j in hits:
-            aligned[p - j].add(j)
-        near = [[x for x in range(s - SLIP, s + SLIP + 1) if x in aligned] for s in aligned]
-        chains = [[(j + s, j) for j in starts] for s, starts in aligned.items()] + [_chain([(j + s, j) for s in x for j in aligned[s]]) for x in near if len(x) > 1]
-        for chain in chains:
-            places = sorted({(j + k, p + k) for p, j in chain for k in range(width)})
-            slots = [(j, p) for j, p in places if kind[j] != _LITERAL]
-            pairs = Counter((int(kind[j]), int(value[j]), int(t.value[p])) for j, p in slots)
-            forth, back = {}, {}
-            for (of, a, b), _ in pairs.most_common():
-                forth.setdefault((of, a), b)
-                back.setdefault((of, b), a)
-            broken = {(j, p) for j, p in slots if forth[int(kind[j]), int(value[j])] != int(t.value[p]) or back[int(kind[j]), int(t.value[p])] != int(value[j])}
-            sound = [(p, j) for p, j in chain if not any((j + k, p + k) in broken for k in range(width))]
-            covered = len({j + k for _, j in sound for k in range(width)})
-            if sound and (len(sound) >= COVERAGE * self.counts[item] or covered >= LONG_RUN):
-                changed = sum(int(value[j]) != int(t.value[p]) for j, p in slots if (j, p) not in broken)
-                best = max(best or (0, 0, 0, 0), (len(sound), len(slots), changed, int(self.counts[item])))
+            parts = -(-int((high - low).sum()) // _HITS)
+            for part in range(parts):
+                if parts > 1:
+                    own = items % parts == part
+                    keys_, items_, places_ = keys[own], items[own], places[own]
+                    low, high = np.searchsorted(keys_, key, "left"), np.searchsorted(keys_, key, "right")
+                else:
+                    keys_, items_, places_ = keys, items, places
+                n = high - low
+                entry = gather(np.arange(len(keys_)), low, n)
+                of, item, j, p = np.repeat(text, n), items_[entry], places_[entry], np.repeat(at, n)
+                order = np.lexsort((j, p - j, item, of))
+                of, item, j, p = of[order], item[order], j[order], p[order]
+                if not len(p):
+                    continue
+                shift = p - j
+                pair = np.cumsum(np.append(True, (of[1:] != of[:-1]) | (item[1:] != item[:-1])))
+                span = int(shift.max() - shift.min()) + 2 * SLIP + 1
+                line = pair * span + shift - shift.min()
+                end = np.searchsorted(line, line + np.minimum(2 * SLIP, span * (pair + 1) - 1 - line), "right")
+                starts = np.flatnonzero(end - np.arange(len(p)) >= self.needed[item])
+                marks = np.zeros(len(p) + 1, np.int64)
+                np.add.at(marks, starts, 1)
+                np.add.at(marks, end[starts], -1)
+                keep = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
+                cuts = np.flatnonzero(np.diff(pair[keep], prepend=0)).tolist() + [len(keep)]
+                for a, b in zip(cuts, cuts[1:]):
+                    own = keep[a:b]
+                    yield int(of[own[0]]), int(item[own[0]]), p[own], j[own]
+
+    def match(self, t: Template, item: int, p: np.ndarray, j: np.ndarray) -> tuple[int, int, int, int] | None:
+        """(matching windows, slots, slots with another value, all windows) of the best alignment if the item is in the text. Hits are in the order of their shifts."""
+        shift, best = p - j, None
+        shifts, begins = np.unique(shift, return_index=True)
+        low, high = np.searchsorted(shift, shifts - SLIP, "left"), np.searchsorted(shift, shifts + SLIP, "right")
+        ends = np.append(begins[1:], len(shift))
+        for k in np.argsort(low - high, kind="stable"):
+            if best and min(high[k] - low[k], self.counts[item]) <= best[0]:
+                break
+            for a, b in {(begins[k], ends[k]), (low[k], high[k])}:
+                pairs = list(zip(p[a:b].tolist(), j[a:b].tolist()))
+                found = self._aligned(t, item, pairs if a == begins[k] and b == ends[k] else _chain(pairs))
+                best = max(best or found, found or best) if best or found else None
         return best
 
+    def _aligned(self, t: Template, item: int, chain: list[tuple[int, int]]) -> tuple[int, int, int, int] | None:
+        """match of one alignment."""
+        width, kind, value = int(self.widths[item]), self.template.kind, self.template.value
+        places = sorted({(j + k, p + k) for p, j in chain for k in range(width)})
+        slots = [(j, p) for j, p in places if kind[j] != _LITERAL]
+        pairs = Counter((int(kind[j]), int(value[j]), int(t.value[p])) for j, p in slots)
+        forth, back = {}, {}
+        for (of, a, b), _ in pairs.most_common():
+            forth.setdefault((of, a), b)
+            back.setdefault((of, b), a)
+        broken = {(j, p) for j, p in slots if forth[int(kind[j]), int(value[j])] != int(t.value[p]) or back[int(kind[j]), int(t.value[p])] != int(value[j])}
+        sound = [(p, j) for p, j in chain if not any((j + k, p + k) in broken for k in range(width))]
+        covered = len({j + k for _, j in sound for k in range(width)})
+        if sound and (len(sound) >= COVERAGE * self.counts[item] or covered >= LONG_RUN):
+            changed = sum(int(value[j]) != int(t.value[p]) for j, p in slots if (j, p) not in broken)
+            return len(sound), len(slots), changed, int(self.counts[item])
+        return None
+
+
+class WholeTable:
+    """Items of few words, to be found as they are."""
+
+    def __init__(self, template: Template, few: np.ndarray):
+        sizes = np.diff(template.begins)
+        self.keys: dict[int, dict[int, list[int]]] = {}
+        for width in sorted(set(sizes[few].tolist()) - {0}):
+            item, _, key = window_hashes(template, width)
+            own = self.keys.setdefault(width, {})
+            for i, x in zip(item.tolist(), key.tolist()):
+                if few[i] and sizes[i] == width:
+                    own.setdefault(x, []).append(i)
+
+    def found(self, t: Template) -> Iterator[tuple[int, int]]:
+        """(text, item), perhaps more than once."""
+        sizes = np.diff(t.begins)
+        for width, known in self.keys.items():
+            text, _, key = window_hashes(t, width)
+            may = np.isin(key, np.fromiter(known, np.uint64, len(known)))
+            if width < _LEAST_WHOLE:
+                may &= sizes[text] == width
+            for k, x in set(zip(text[may].tolist(), key[may].tolist())):
+                yield from ((k, i) for i in known[x])
+
 
 class BenchmarkTable:
-    """Window tables of a block of items: by template and by words."""
+    """Tables of a block of items: by template, by words, and of items of few words."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
-        self.ids = [i for i, _ in items]
-        template, words = canonical(pa.array([x for _, x in items], pa.string()))
-        self.by_template, self.by_words = WindowTable(template), WindowTable(words)
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        template, words, whole = canonical(pa.array(texts, pa.string()))
+        self.tables = WindowTable(template), WindowTable(words)
+        self.whole = WholeTable(whole, np.diff(words.begins) < LEAST_TOKENS)
 
     def found(self, texts: pa.Array) -> list[tuple[int, int, tuple[int, int, int, int]]]:
         """(text, item, match) for every item in every text; a match by template comes before one by words."""
-        out = {}
-        for known, t in zip((self.by_template, self.by_words), canonical(texts)):
-            for at, hits in known.hits(t).items():
-                if at not in out and (m := known.match(t, at[1], hits)):
-                    out[at] = m
+        out, (template, words, whole) = {}, canonical(texts)
+        for known, t in zip(self.tables, (template, words)):
+            for k, item, p, j in known.hits(t):
+                if (k, item) not in out and (m := known.match(t, item, p, j)):
+                    out[k, item] = m
+        for at in self.whole.found(whole):
+            out.setdefault(at, (1, 0, 0, 1))
         return [(*at, m) for at, m in sorted(out.items())]
 
 
-def benchmark_tables(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[BenchmarkTable]:
-    """Tables of bounded size that hold all items: the benchmark's words are counted first, and it is split by the hash of its texts accordingly."""
-    items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+def benchmark_tables(benchmark: DataFrame, text: str = "text") -> Iterator[BenchmarkTable]:
+    """Tables of bounded size that hold all distinct texts: their words are counted first, and they are split by their hash accordingly."""
+    items = benchmark.select(F.col(text).alias("text")).where(F.col("text").isNotNull()).distinct()
     words = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     blocks = ceil(words / _BLOCK_WORDS)
     for k in range(blocks):
-        yield BenchmarkTable([tuple(r) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()])
+        yield BenchmarkTable([r[0] for r in items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()])
 
 
-_LEAKS = "item_id long, n_windows long, item_windows long, n_slots long, n_changed long"
+_LEAKS = "n_windows long, item_windows long, n_slots long, n_changed long"
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document and benchmark item in it: doc_id, item_id, matching windows of the item and all its windows, slots of the alignment and those whose value differs.
 
-    Whole documents are scanned where they are read, once for each block of the benchmark; nothing is shuffled.
-    Null and empty texts match nothing, nor do items of fewer than five words; repeated rows and
-    repeated items match each for itself. An empty benchmark gives no rows. Other columns may have any name.
+    Whole documents are scanned where they are read, once for each block of the benchmark; nothing of them is shuffled.
+    Distinct item texts are looked up, and the rows of the benchmark that have a found text are joined to it. Null and
+    empty texts match nothing. An item found whole counts as one window. Repeated rows and repeated items match each
+    for itself. An empty benchmark gives no rows. Other columns may have any name.
     """
     columns = docs.select(F.col(text).alias("_text"), F.col(doc_id).alias("doc_id"))
-    schema = f"doc_id {columns.schema['doc_id'].dataType.simpleString()}, {_LEAKS}"
+    schema = f"doc_id {columns.schema['doc_id'].dataType.simpleString()}, _item string, {_LEAKS}"
     out = docs.sparkSession.createDataFrame([], schema)
     for block in benchmark_tables(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(block)
@@ -245,17 +331,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
                 for first, texts in slices(batch.column(0)):
                     found = known.found(texts)
                     ids = batch.column(1).take(pa.array([first + k for k, _, _ in found], pa.int64()))
-                    rows = [(known.ids[i], m[0], m[3], m[1], m[2]) for _, i, m in found]
-                    values = list(zip(*rows)) or [[]] * 5
-                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in values)], ["doc_id", *(x.split()[0] for x in _LEAKS.split(", "))])
+                    items = pa.array([known.texts[i] for _, i, _ in found], pa.string())
+                    values = list(zip(*((m[0], m[3], m[1], m[2]) for _, _, m in found))) or [[]] * 4
+                    yield pa.RecordBatch.from_arrays([ids, items, *(pa.array(x, pa.int64()) for x in values)], ["doc_id", "_item", *(x.split()[0] for x in _LEAKS.split(", "))])
 
         out = out.unionByName(columns.mapInArrow(find, schema))
-    return out
+    named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("_item"))
+    return out.join(named, "_item").select("doc_id", "item_id", *(x.split()[0] for x in _LEAKS.split(", ")))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs, all columns kept, whose text holds no benchmark item."""
-    out = docs.select(F.col(text).alias("_text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    """The rows of docs, all columns kept, whose text holds no benchmark item.
+
+    Null and empty texts hold none. Equal rows stay or go together; an empty table stays empty, and an empty benchmark
+    leaves all rows. Columns may have any name.
+    """
+    out = docs.select(F.col(f"`{text}`").alias("_text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
     for block in benchmark_tables(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 

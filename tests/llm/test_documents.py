@@ -174,7 +174,8 @@ CASES = {
     2: ("once again if Maria buys 15 apples for 4 euros each and sells 9 of them to Pedro, how many apples does Maria have left in the basket today", {1: 7}),
     3: ("the longest river of the old country runs quietly past seven small villages before it meets the sea", {2: 0}),
     4: ("the longest river runs past seven villages and it meets the sea before long", {}),
-    5: ("too short", {}),
+    5: ("too short", {3: 0}),
+    10: ("this text is not too short, but holds these two words", {}),
     6: ("", {}),
     7: (None, {}),
     8: (ITEMS[4][1].upper() + "\n" + ITEMS[1][1], {2: 0, None: 0}),
@@ -205,14 +206,14 @@ def test_benchmark_is_taken_in_blocks(spark, monkeypatch):
 
 
 def test_inconsistent_slots_break_windows():
-    known = decontamination.BenchmarkTable([(1, QUESTION)])
+    known = decontamination.BenchmarkTable([QUESTION])
     same = known.found(pa.array([QUESTION.replace("Alice", "Maria")]))[0][2]
     broken = known.found(pa.array([QUESTION.replace("Alice", "Maria", 1)]))[0][2]
     assert broken[0] < same[0] and same[2] == 2
 
 
 def _found(item, text):
-    return [x[2] for x in decontamination.BenchmarkTable([(1, item)]).found(pa.array(["some words before it " + text + " and some after"]))]
+    return [x[2] for x in decontamination.BenchmarkTable([item]).found(pa.array(["some words before it " + text + " and some after"]))]
 
 
 def test_a_word_put_in_or_left_out_does_not_hide_a_copy():
@@ -230,6 +231,69 @@ def test_items_of_numbers_and_names_are_found_as_they_are():
         assert _found(item, item) and not _found(item, item.replace("2", "9"))
 
 
+def test_short_items_are_found_as_they_are():
+    for item in ("12 + 7 = 19", "Compute 3 + 5 * 9 - 2 now", "a = b", "x -> y"):
+        assert _found(item, item) and not _found(item, item.replace("7", "8").replace("5", "6").replace("b", "c").replace("y", "z"))
+    assert _found("12 + 7 = 19", "12 + 7 = 19.") and not _found("12 + 7 = 19", "12 - 7 = 19")
+    assert not _found("two words", "two words") and decontamination.BenchmarkTable(["two words"]).found(pa.array(["Two words."]))
+
+
+def _slow_match(item, text):
+    """Whether the item is in the text, by brute force over pairs of windows and shifts, without slips: its template, or its words."""
+    for one, all_of in zip(decontamination.canonical(pa.array([item]))[:2], decontamination.canonical(pa.array([text]))[:2]):
+        width = min(len(one.token), decontamination.WINDOW)
+        if width < decontamination.LEAST_TOKENS:
+            continue
+        windows, seen = {}, set()
+        for j in range(len(one.token) - width + 1):
+            key = tuple(one.token[j : j + width].tolist())
+            if key not in seen and sum(one.kind[j : j + width] == 0) >= min(decontamination.LITERALS, width):
+                seen.add(key)
+                windows[j] = key
+        for shift in range(-len(one.token), len(all_of.token)):
+            chain = [j for j, key in windows.items() if 0 <= j + shift and tuple(all_of.token[j + shift : j + shift + width].tolist()) == key]
+            slots = sorted({j + k for j in chain for k in range(width) if one.kind[j + k] != 0})
+            pairs = Counter((int(one.kind[j]), int(one.value[j]), int(all_of.value[j + shift])) for j in slots)
+            forth, back = {}, {}
+            for (of, a, b), _ in pairs.most_common():
+                forth.setdefault((of, a), b)
+                back.setdefault((of, b), a)
+            bad = {j for j in slots if forth[int(one.kind[j]), int(one.value[j])] != int(all_of.value[j + shift]) or back[int(one.kind[j]), int(all_of.value[j + shift])] != int(one.value[j])}
+            sound = [j for j in chain if not bad & set(range(j, j + width))]
+            if sound and (2 * len(sound) >= len(windows) or len({j + k for j in sound for k in range(width)}) >= decontamination.LONG_RUN):
+                return True
+    return False
+
+
+def test_matches_equal_brute_force():
+    rng = random.Random(12)
+    words = "tin can Alice Bob 3 7 12 apples km dollars sold to the red house and then".split()
+    items = [" ".join(rng.choices(words, k=rng.randint(5, 30))) for _ in range(40)]
+    texts = []
+    for k in range(60):
+        item = rng.choice(items).split()
+        a, b = sorted(rng.sample(range(len(item) + 1), 2)) if k % 2 else (k % 3, len(item) - k % 2)
+        texts.append(" ".join([*rng.choices(words, k=10), *item[a:b], *rng.choices(words, k=10)]))
+    found = {(k, i) for k, i, _ in decontamination.BenchmarkTable(items).found(pa.array(texts))}
+    slow = {(k, i) for k, x in enumerate(texts) for i, item in enumerate(items) if _slow_match(item, x)}
+    assert slow <= found and len(slow) > 20
+    straight = {at for at in found - slow}  # what slips add
+    assert len(straight) < len(found) / 2
+
+
+def test_repetitive_texts_and_repeated_items_cost_little(spark):
+    import time
+
+    phrase = "on and on and on it goes again and "
+    table = decontamination.BenchmarkTable([phrase * k for k in range(2, 22)])
+    began = time.perf_counter()
+    assert len(table.found(pa.array([phrase * 30000]))) == 20
+    assert time.perf_counter() - began < 30
+    items = spark.createDataFrame([(k, QUESTION) for k in range(500)], "item_id long, text string")
+    assert [len(x.texts) for x in decontamination.benchmark_tables(items)] == [1]
+    assert decontamination.find_leaks(spark.createDataFrame([(1, QUESTION)], "doc_id int, text string"), items).count() == 500
+
+
 def test_copies_in_another_case_or_with_other_lines_are_found():
     item = "the capital of France lies on the Seine and was home to Victor Hugo"
     for text in (item, item.lower(), item.upper(), item.title(), item.replace(" France", "\nFrance").replace(" Victor", "\nVictor")):
