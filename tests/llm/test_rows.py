@@ -1,5 +1,6 @@
 """Sharding, URL rules, quality rules, secrets and WARC archives against brute force."""
 
+import base64
 import hashlib
 import random
 import re
@@ -198,6 +199,59 @@ def test_novel_values_in_other_forms():
         assert not secrets.novel_spans(prose)
 
 
+def _generated(rng):
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    raw = rng.randbytes(16).hex()
+    return {
+        "base64": base64.b64encode(rng.randbytes(24)).decode(), "alphanumeric": "".join(rng.choices(letters + "0123456789", k=rng.randint(18, 40))), "hex": rng.randbytes(16).hex(),
+        "digits": "".join(rng.choices("0123456789", k=24)), "uuid": "-".join([raw[:8], raw[8:12], raw[12:16], raw[16:20], raw[20:]]), "letters": "".join(rng.choices(letters, k=24)),
+    }
+
+
+HARMLESS = "/usr/share/locale/en_US/LC_MESSAGES2 build-2024-01-release-candidate3 com/example/service/Handler2Factory InternationalizationManager2 application-configuration-server1 encrypted_password_column_v2 http2-connection-manager".split()
+
+
+def test_the_method_tells_generated_values_from_names():
+    rng, found = random.Random(9), Counter()
+    frames = [("the private_key: ", "\nand more of the text"), ("x = connect(credential='", "')\nreturn x\n"), ("Signature ", " of the document")]
+    for _ in range(200):
+        for kind, value in _generated(rng).items():
+            before, after = frames[0] if kind == "letters" else rng.choice(frames)
+            text = before + value + after
+            spans = secrets.novel_spans(text)
+            found[kind] += any(text[a:b].startswith(value.rstrip("=")) for a, _, b in spans)
+    assert all(n >= 194 for n in found.values()), found
+    for name in HARMLESS:
+        for before, after in frames:
+            assert not secrets.novel_spans(before + name + after), (before, name)
+
+
+def test_novel_spans_have_the_marginal_size_that_brute_force_finds():
+    import zstandard
+
+    rng = random.Random(10)
+    primed = zstandard.ZstdCompressionDict(secrets.identifier_dictionary(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primed.precompute_compress(level=3)
+    for _ in range(60):
+        values = [rng.choice([*_generated(rng).values(), *HARMLESS]) for _ in range(3)]
+        text = "".join(f"{'word ' * rng.randint(0, 80)}auth_key_{k} = '{v}'\n" for k, v in enumerate(values))
+        want = []
+        for v in values:
+            at = text.index(f"'{v}'") + 1
+            around = text[max(0, at - 256) : at], text[at + len(v) : at + len(v) + 256]
+            sizes = [len(zstandard.ZstdCompressor(level=3, dict_data=primed, write_checksum=False, write_content_size=False).compress(x.encode())) for x in (around[0] + v + around[1], "".join(around))]
+            if sizes[0] - sizes[1] >= 0.85 * len(v):
+                want.append((at, 3, at + len(v)))
+        assert set(secrets.novel_spans(text)) == set(want)
+
+
+def test_secrets_of_odd_documents(spark, folder, odd_docs):
+    """Very long, null, blank and repeated texts, and columns named like results."""
+    rows = secrets.op2_secret_spans(spark, folder).collect()
+    want = Counter((r.doc_id, ",".join(_base(r.text))) for r in odd_docs.collect())
+    assert Counter((r.doc_id, ",".join(x for x in r.spans.split(",") if x and not x.startswith("novel"))) for r in rows) == want
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame(list(enumerate(SECRETS)), "doc_id long, text string")
     out = {r.doc_id: r.text for r in secrets.redact_secrets(docs, keep=("doc_id",)).collect()}
