@@ -47,6 +47,9 @@ _STAR_BITS = 8
 #: The rest goes to further rounds of stars while it has more than so many pairs a document and a round halves them.
 _STAR_PAIRS = 4096
 
+#: Parts that a component's members are dealt out to for a join.
+_SALTS = 16
+
 _PACKED = [f"b{k}" for k in range(_WORDS)]
 
 
@@ -450,9 +453,10 @@ def _resolved(signed: DataFrame, width: int, percent: int) -> DataFrame:
     """(row, doc, size, _component, component_id) of every row of signatures; _component is a row of the component, whatever the ids are."""
     classes = stored(signed.where("size > 0").groupBy("set_a", "set_b", "size").agg(F.min("row").alias("head"), F.min("doc").alias("doc")), "classes")
     joined = near_components(signed, classes, width, percent)
-    named = classes.join(joined, classes["head"] == joined["node"], "left").select("set_a", "set_b", "size", "doc", F.coalesce("component", "head").alias("_component"))
-    least = named.groupBy("_component").agg(F.min("doc").alias("_least"))
-    named = named.drop("doc").join(least, "_component")
+    linked = classes.select("head", "doc").join(joined, F.col("head") == F.col("node")).select("head", "doc", "component", F.pmod(F.xxhash64("head"), F.lit(_SALTS)).alias("_salt"))
+    least = linked.groupBy("component").agg(F.min("doc").alias("_least")).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
+    linked = linked.join(least, ["component", "_salt"]).select("head", "component", "_least")  # in salts, as one component may hold most
+    named = classes.join(linked, "head", "left").select("set_a", "set_b", "size", F.coalesce("component", "head").alias("_component"), F.when(F.col("component").isNull(), F.col("doc")).otherwise(F.col("_least")).alias("_least"))
     out = signed.select("row", "doc", "size", "set_a", "set_b").join(named, ["set_a", "set_b", "size"], "left")
     blank = F.col("size") == 0
     return out.select("row", "doc", "size", F.when(blank, F.col("row")).otherwise(F.col("_component")).alias("_component"), F.when(blank, F.col("doc")).otherwise(F.col("_least")).alias("component_id"))
