@@ -51,7 +51,16 @@ PAGE_RULES = (
 )
 
 
+#: Pages whose canonical URL fits one of these are blocked where no rule fits: mobile copies, forms, listings, feeds and files that aren't text.
+PAGE_GLOBS = (
+    ".m.**", "**/login**", "**/signup**", "**/cart/**", "**/search/**", "**/tag/**", "**/feed/**", "**/wp-admin/**", "**/cgi-bin/**", "**.php",
+    "**.exe", "**.zip", "**.pdf", "**.jpg", "**.png", "**.mp4",
+)
+
+
 class GlobAutomaton:
+    """All globs at once; their states fill as many words as they need."""
+
     def __init__(self, globs: list[str]):
         parts = [self._elements(g) for g in globs]
         bits = sum(len(chars) + 1 for chars, _ in parts)
@@ -107,7 +116,10 @@ class GlobAutomaton:
 
 @dataclass(frozen=True)
 class RuleSet:
+    """Rules, and globs for the URLs that fit none."""
+
     rules: tuple[Rule, ...]
+    globs: tuple[str, ...] = ()
 
     @cached_property
     def ordered(self) -> list[Rule]:
@@ -116,35 +128,36 @@ class RuleSet:
 
     @cached_property
     def automaton(self) -> GlobAutomaton:
-        return GlobAutomaton([r.glob for r in self.ordered])
+        return GlobAutomaton([*(r.glob for r in self.ordered), *self.globs])
 
     def fitting(self, urls: pa.Array) -> np.ndarray:
-        """Number in ordered of the longest rule for each canonical URL; len(rules) if none fits."""
+        """Number in ordered of the longest rule for each canonical URL; len(rules) if none but a glob fits, one more if nothing does."""
         urls = urls.cast(pa.binary())
         data = np.frombuffer(b"".join(urls.to_pylist()), np.uint8)
         begins = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(urls), np.int64))])
-        hits = np.column_stack([self.automaton.matches(data, begins), np.ones(len(urls), bool)])
-        return hits.argmax(axis=1)
+        hits, n = self.automaton.matches(data, begins), len(self.ordered)
+        return np.column_stack([hits[:, :n], hits[:, n:].any(axis=1), np.ones(len(urls), bool)]).argmax(axis=1)
 
 
-def filter_urls(df: DataFrame, url: str, rules: tuple[Rule, ...], keep: tuple[str, ...], otherwise: str = "allow") -> DataFrame:
+def filter_urls(df: DataFrame, url: str, rules: tuple[Rule, ...], keep: tuple[str, ...], globs: tuple[str, ...] = (), otherwise: str = "allow") -> DataFrame:
     """keep, host, path, rule and verdict for each row of df.
 
     Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, with A-Z in lower case; path: from there
     up to ``?``, ``#`` or the end. Both are empty where the URL is null or has no ``://``. The longest fitting
-    rule decides; where none fits, rule is null and the verdict is ``otherwise``. No shuffle. Kept columns must
+    rule decides, of equally long ones the first; where none fits, rule is null and the verdict is block if one of the
+    globs fits the whole of ``.host/path``, else ``otherwise``. Repeated rows give a row each and an empty table none. No shuffle. Kept columns must
     not be named like the results; other columns of df may have any name.
     """
     pattern = r"(?s)^.*?://([^/?#]*)([^?#]*)"
     text = F.coalesce(F.col(url), F.lit(""))
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     parts = df.select(*keep, F.translate(F.regexp_extract(text, pattern, 1), upper, upper.lower()).alias("host"), F.regexp_extract(text, pattern, 2).alias("path"))
-    known = RuleSet(tuple(rules))
+    known = RuleSet(tuple(rules), tuple(globs))
     schema = schema_of(df, keep, "host string, path string, rule string, verdict string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = pa.array([*(r.name for r in known.ordered), None], pa.string())
-        verdicts = pa.array([*(r.verdict for r in known.ordered), otherwise], pa.string())
+        names = pa.array([*(r.name for r in known.ordered), None, None], pa.string())
+        verdicts = pa.array([*(r.verdict for r in known.ordered), "block", otherwise], pa.string())
         for batch in batches:
             for first, urls in slices(batch.column(0)):
                 own = batch.slice(first, len(urls))
@@ -157,21 +170,28 @@ def filter_urls(df: DataFrame, url: str, rules: tuple[Rule, ...], keep: tuple[st
 
 def op5_url_verdicts(spark, sf_dir: str) -> DataFrame:
     """The verdict on every page's URL."""
-    return filter_urls(table(spark, sf_dir, "pages"), "url", PAGE_RULES, ("page_id",))
+    return filter_urls(table(spark, sf_dir, "pages"), "url", PAGE_RULES, ("page_id",), PAGE_GLOBS)
+
+
+def _as_sql(glob: str) -> str:
+    """A glob of PAGE_GLOBS, as SQL over u."""
+    word = glob.strip("*")
+    return f"starts_with(u, '{word}')" if not glob.startswith("**") else f"contains(u, '{word}')" if glob.endswith("**") else f"ends_with(u, '{word}')"
 
 
-OP5_SQL = """
+OP5_SQL = f"""
 WITH rest AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
 ), parts AS (
   SELECT page_id, regexp_extract(r, '^[^/?#]*') AS h, regexp_extract(substring(r, length(regexp_extract(r, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM rest
 ), hosts AS (
-  SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM parts
+  SELECT page_id, lowered AS host, path, '.' || coalesce(lowered, '') || coalesce(path, '') AS u
+  FROM (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered, path FROM parts)
 ), rules(verdict, rhost, rpath) AS (
   VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
 ), best AS (
   SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
   FROM hosts JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id
 )
-SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(verdict, 'allow') AS verdict FROM hosts LEFT JOIN best USING (page_id)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(verdict, CASE WHEN {' OR '.join(map(_as_sql, PAGE_GLOBS))} THEN 'block' ELSE 'allow' END) AS verdict FROM hosts LEFT JOIN best USING (page_id)
 """
