@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -30,27 +32,34 @@ _SAMPLE, _DICTIONARY, _ARCHIVE = 2 << 20, 32 << 10, 256 << 20
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def _urn(page_id: int | None) -> str:
-    return f"<urn:page:{'none' if page_id is None else page_id}>"
+def record_id(page_id: int | None, digest: str, place: str) -> str:
+    """A URN of the page, its payload and the record's place in the archives, which no two records share, whatever their page_ids are."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}/{place}')}>"
 
 
-def _page(urn: str | None) -> int | None:
-    return None if urn is None or urn == _urn(None) else int(urn[len("<urn:page:") : -1])
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str, place: str) -> bytes:
+    """One WARC record. A revisit (refers_to is given) has the HTTP head, which states the payload's length, and no payload.
 
-
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
-    """One WARC record. A revisit (refers_to is given) has the HTTP head, which states the payload's length, and no payload."""
+    Pages go by fields of their own, Page-ID and Refers-To-Page-ID; WARC-Refers-To is optional and left out, as the
+    response's place isn't known where a revisit is written.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
-    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", _urn(page_id)), ("WARC-Date", date)]
+    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(page_id, digest, place)), ("WARC-Date", date)]
+    if page_id is not None:
+        fields.append(("Page-ID", str(page_id)))
     if url is not None:
         fields.append(("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)))
     if refers_to is not None:
-        fields += [("WARC-Profile", _REVISIT), ("WARC-Refers-To", _urn(refers_to))]
+        fields += [("WARC-Profile", _REVISIT), ("Refers-To-Page-ID", str(refers_to))]
     fields += [("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
+def _page(number: str | None) -> int | None:
+    return None if number is None else int(number)
+
+
 def train(samples: list[bytes]):
     """A dictionary of the samples; of their bytes as they are where they are too few to train on; None without any."""
     import zstandard
@@ -139,18 +148,20 @@ def read_archive(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
                 yield fields, data[: size - 4]
 
 
-def write_archives(pages: DataFrame, folder: str, least_bytes: int = 100, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, least_bytes: int = 100, date: str | None = None) -> DataFrame:
     """Writes a record for every row of pages (page_id, url, html); returns the manifest (path, records).
 
     Of rows with equal payloads of at least least_bytes the one with the smallest page_id is a response and the
     others refer to it; shorter payloads are all responses. Null html is an empty payload. Repeated rows with
     that smallest page_id are all responses. A null page_id is a revisit where its payload occurs under an id,
-    else a response. Columns beside these three may have any name.
+    else a response. An empty table gives archives without records, or none. Columns beside these three may have any
+    name. ``date`` is when the pages were fetched; without it, the time of the call.
 
     Only payloads that occur twice or more are joined back; the join is a plain one, so that adaptive execution
     splits the payload that a third of the pages have. Each file bears its attempt's name and counts only if the
     manifest lists it, so lost executors leave no half-written archive behind.
     """
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = F.coalesce(F.col("html"), F.lit(""))
     hashed = pages.select("page_id", "url", payload.alias("payload"), F.sha2(F.encode(payload, "UTF-8"), 256).alias("digest"))
     copied = hashed.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("_n"))
@@ -167,7 +178,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 100, date:
                     if done:
                         done[-1].close()
                     done.append(_Archive(f"{folder}/pages-{task.partitionId():06d}-{task.taskAttemptId()}-{len(done):04d}.warc.zst"))
-                done[-1].add(record(page_id, url, html, digest, first, date))
+                done[-1].add(record(page_id, url, html, digest, first, date, f"{task.partitionId()}-{len(done)}-{done[-1].records}"))
         if done:
             done[-1].close()
         yield pa.RecordBatch.from_pydict({"path": pa.array([a.path for a in done], pa.string()), "records": pa.array([a.records for a in done], pa.int64())})
@@ -191,7 +202,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                     if fields["warc-type"] == "response":
                         if (size, digest) != (len(payload), hashlib.sha256(payload).hexdigest()):
                             raise ValueError(f"a payload in {path} differs from its head")
-                    rows.append((_page(fields["warc-record-id"]), size, digest, fields["warc-type"], _page(fields.get("warc-refers-to"))))
+                    rows.append((_page(fields.get("page-id")), size, digest, fields["warc-type"], _page(fields.get("refers-to-page-id"))))
                     if len(rows) == 5000:
                         yield _batch(rows)
                         rows = []

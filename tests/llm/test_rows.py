@@ -53,12 +53,15 @@ def _verdict(url):
         host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
     fits = [r for r in url_filter.PAGE_RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
     best = max(fits, key=lambda r: len(r.name), default=None)
-    return host, path, best and best.name, best.verdict if best else "allow"
+    globs = [re.compile("".join({"**": "(?s:.*)", "*": "[^/]*"}.get(p, re.escape(p)) for p in re.findall(r"\*\*|\*|[^*]+", g))) for g in url_filter.PAGE_GLOBS]
+    junk = any(g.fullmatch(f".{host}{path}") for g in globs)
+    return host, path, best and best.name, best.verdict if best else "block" if junk else "allow"
 
 
 URLS = [
     None, "", "no scheme", "http://", "http://com", "http://com/", "http://a.com", "http://a.com/x", "https://EXAMPLE.com/en/1?q=http://b.net/fr/", "http://www.example.com/en/", "http://xwww.example.com/en/",
     "http://m.www.example.com/en/a#top", "http://example.com/en", "http://notexample.com/en/x", "http://net/es/", "http://a.net/fr/?x", "http://a.net?/fr/", "http://é.net/fr/汉", "http://a.org/x.com/y", "x://y://z.com/",
+    "http://m.a.org/x", "http://am.org/login?x", "http://a.org/x/cart/", "http://a.org/cart", "http://a.org/a.php", "http://a.php", "http://a.org/a.php/b", "http://m.com/login", "m.org/login",
     "http://a.com:80/", "http://u@b.com/\n/x", "http://a.net/" + "x" * 100000 + "/es/", "http://a.net/es" + "/" * 50000,
 ]
 
@@ -66,7 +69,10 @@ URLS = [
 def test_url_rules(spark):
     rows = [(k, u, "clash", "clash") for k, u in enumerate(URLS)] + [(None, URLS[7], "", ""), (3, URLS[3], "", "")]
     df = spark.createDataFrame(rows, "page_id long, url string, host string, rule string")
-    got = Counter(tuple(r) for r in url_filter.filter_urls(df, "url", url_filter.PAGE_RULES, ("page_id",)).collect())
+    got = Counter(tuple(r) for r in url_filter.filter_urls(df, "url", url_filter.PAGE_RULES, ("page_id",), url_filter.PAGE_GLOBS).collect())
+    assert url_filter.RuleSet(url_filter.PAGE_RULES, url_filter.PAGE_GLOBS).automaton.start.shape[0] > 1
+    twice = url_filter.RuleSet((url_filter.Rule("allow", "b.c", "/"), url_filter.Rule("block", "b.c", "/")))
+    assert [r.verdict for r in twice.ordered] == ["allow", "block"] and twice.fitting(pa.array([".a.b.c/"])).tolist() == [0]
     assert got == Counter((r[0], *_verdict(r[1])) for r in rows)
 
 
@@ -286,7 +292,9 @@ def test_archives(spark):
         head = f.read(8)
         assert head[:4] == b"\x5d\x2a\x4d\x18" and int.from_bytes(head[4:], "little") > 1000
     fields, block = next(warc.read_archive(path))
-    assert fields["warc-record-id"].startswith("<urn:page:") and block.startswith(b"HTTP/1.1 200 OK\r\n")
+    ids = [f["warc-record-id"] for r in manifest.collect() for f, _ in warc.read_archive(r.path)]
+    assert len(set(ids)) == len(ids) == len(rows) and all(x.startswith("<urn:uuid:") for x in ids)
+    assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["warc-date"]) and block.startswith(b"HTTP/1.1 200 OK\r\n")
 
 
 def test_nothing(spark, nothing):
