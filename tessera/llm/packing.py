@@ -59,13 +59,17 @@ def _binaries(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _quanta(tokens: DataFrame, window: int, mixture: dict[str | None, float] | None) -> tuple[DataFrame, float]:
+#: Rounds of a block, which hold a window's tokens each at most, and a bound on the number of blocks that larger blocks keep.
+_BLOCK_ROUNDS, _BLOCKS = 256, 1_000_000
+
+
+def _quanta(tokens: DataFrame, window: int, mixture: dict[str | None, float] | None, power: float) -> tuple[DataFrame, float]:
     """(_queue, _part, _base, _quantum): where each part of a queue begins, and the queue's tokens a round; and the last round."""
     parts = tokens.groupBy("_queue", "_part").agg(F.sum("_n").alias("_tokens"))
     queues = parts.groupBy("_queue").agg(F.sum("_tokens").alias("_all"))
-    weight = F.col("_all").cast("double")
+    weight = F.col("_all").cast("double") if power == 1 else F.pow(F.col("_all").cast("double"), F.lit(float(power)))
     if mixture:
-        total = queues.agg(F.sum("_all")).first()[0] or 1
+        total = queues.agg(F.sum(weight)).first()[0] or 1
         weight = weight / total
         for source, share in mixture.items():
             weight = F.when(F.col("_queue") == queue_name(F.lit(source)), F.lit(float(share))).otherwise(weight)
@@ -85,7 +89,7 @@ def queue_name(source: Column) -> Column:
 
 def pack(
     docs: DataFrame, text: str = "text", source: str = "source", keep: tuple[str, ...] = ("doc_id",), vocabulary: str | None = None,
-    end_id: int = 1, window: int = 2048, piece: int = 64, mixture: dict[str | None, float] | None = None,
+    end_id: int = 1, window: int = 2048, piece: int = 64, mixture: dict[str | None, float] | None = None, power: float = 1.0,
 ) -> DataFrame:
     """Packs every row of docs into windows; one row per piece, with the kept columns of its document.
 
@@ -94,7 +98,8 @@ def pack(
     included, lies in exactly one piece.
 
     mixture gives sources' weights as shares of a window. Without one, and for sources that it leaves out, a
-    source's weight is its share of all tokens, so that the queues run dry together. Documents are cut into
+    source's weight is the given power of its tokens, as a share: at 1 the queues run dry together, below it
+    small sources have more than their share of a window until they are dry. Documents are cut into
     pieces of at most ``piece`` tokens or their source's quantum, whichever is larger; up to a round, a source
     has sent its quanta but for less than a piece, which later rounds make up for. When a queue is dry the
     others go on at their own proportions.
@@ -105,11 +110,10 @@ def pack(
     """
     if any(share <= 0 for share in (mixture or {}).values()):
         raise ValueError("a source's share must be positive")
-    spark = docs.sparkSession
     clean = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text"), queue_name(F.col(source)).alias("_queue"), *keep)
     tokens = stored(_encoded(clean, keep, vocabulary or vocabulary_path(), end_id), "tokens")
     width = token_ids(vocabulary or vocabulary_path()).dtype.itemsize
-    quanta, rounds = _quanta(tokens, window, mixture)
+    quanta, rounds = _quanta(tokens, window, mixture, power)
 
     size = F.greatest(F.lit(piece), F.floor("_quantum")).cast("long")
     cut = tokens.select("_row", "_queue", "_part", "_ahead", "_n").join(quanta, ["_queue", "_part"])
@@ -119,8 +123,8 @@ def pack(
     cut = cut.withColumn("_round", F.ceil(F.col("_end") / F.col("_quantum")))
 
     # The stream's order is (round, queue, place in the queue). Blocks of rounds are summed up, then numbered each alone.
-    blocks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = cut.withColumn("_block", F.floor(F.col("_round") / max(1.0, rounds / blocks)))
+    # A round sends a window's tokens at most, however many queues are dry by then, so no block holds more than its rounds' windows.
+    cut = cut.withColumn("_block", F.floor(F.col("_round") / max(_BLOCK_ROUNDS, rounds / _BLOCKS)))
     cut = cut.select("_row", "_queue", "_begin", "_length", "_end", "_round", "_block")
     in_blocks = cut.groupBy("_block").agg(F.sum("_length").alias("_held"))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
@@ -160,8 +164,12 @@ def pack(
     return tokens.join(by_row, "_row").select("_ids", "_n", "_pieces", *keep).mapInArrow(slice_ids, schema)
 
 
+#: The mixture of op1: a source's target share of a window is proportional to this power of its tokens.
+MIXTURE_POWER = 0.7
+
+
 def op1_packed_pieces(spark, sf_dir: str) -> DataFrame:
-    """All documents in sequences of 2048 tokens, mixed as the sources' tokens are; one row per piece."""
-    pieces = pack(table(spark, sf_dir, "documents"), keep=("doc_id", "source"))
+    """All documents in sequences of 2048 tokens, mixed in proportion to the sources' tokens to the power of 0.7; one row per piece."""
+    pieces = pack(table(spark, sf_dir, "documents"), keep=("doc_id", "source"), power=MIXTURE_POWER)
     crc = F.crc32("ids").cast("long").alias("ids_crc32")
     return pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset", "source")

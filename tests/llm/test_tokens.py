@@ -165,6 +165,53 @@ def test_windows_keep_the_mixture(spark):
                 assert abs(sent[s] - share[s]) <= 2 * max(16, 512 * w) + 16
 
 
+def _round_robin(queues, quanta, piece):
+    """The stream's pieces (doc_id, start, length), by rounds in which each queue sends while its deficit covers the piece at its head."""
+    heads = {q: [(d, at, min(size, n - at)) for d, n in docs for size in [max(piece, int(quanta[q]))] for at in range(0, n, size)] for q, docs in queues.items()}
+    deficit, out = dict.fromkeys(queues, 0.0), []
+    while any(heads.values()):
+        for q in sorted(queues):
+            deficit[q] += quanta[q]
+            while heads[q] and heads[q][0][2] <= deficit[q]:
+                deficit[q] -= heads[q][0][2]
+                out.append(heads[q].pop(0))
+    return out
+
+
+@pytest.mark.parametrize("mixture", [{"a": 0.5, "b": 0.25, "c": 0.25}, {"a": 0.125, "b": 0.125, "c": 0.75}])
+def test_order_is_that_of_a_simulated_round_robin(spark, library, monkeypatch, mixture):
+    monkeypatch.setattr(packing, "_BLOCK_ROUNDS", 3)
+    rng = random.Random(3)
+    docs = [(k, "the river " * rng.randint(0, 90), "abc"[k * k % 7 % 3]) for k in range(60)]
+    queues = {"abc"[j]: [(d, len(_ids(library, x)) + 1) for d, x, s in docs if s == "abc"[j]] for j in range(3)}
+    want = _round_robin(queues, {s: 256 * w for s, w in mixture.items()}, 16)
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string").coalesce(1)
+    rows = sorted(packing.pack(frame, window=256, piece=16, mixture=mixture).collect(), key=lambda r: (r.sequence_id, r.offset))
+    joined = []
+    for r in rows:  # what a window's end cut is one piece again
+        if joined and r.offset == 0 and joined[-1][0] == r.doc_id and joined[-1][1] + joined[-1][2] == r.start:
+            joined[-1][2] += r.length
+        else:
+            joined.append([r.doc_id, r.start, r.length])
+    flat = []
+    for d, at, n in want:  # neighbours of one document that meet at a window's end look joined above
+        if flat and flat[-1][0] == d and flat[-1][1] + flat[-1][2] == at and sum(x[2] for x in flat) % 256 == 0:
+            flat[-1][2] += n
+        else:
+            flat.append([d, at, n])
+    assert joined == flat
+
+
+def test_shares_must_be_positive_and_powers_flatten_the_mixture(spark):
+    docs = spark.createDataFrame([(k, "the river " * 40, "a" if k % 16 else "b") for k in range(400)], "doc_id long, text string, source string")
+    with pytest.raises(ValueError):
+        packing.pack(docs, mixture={"a": 0.0})
+    for power, share in ((1.0, 1 / 16), (0.5, 1 / (1 + 15**0.5))):
+        rows = packing.pack(docs, keep=("source",), window=512, piece=16, power=power).where("sequence_id < 8").collect()
+        got = sum(r.length for r in rows if r.source == "b") / (8 * 512)
+        assert abs(got - share) < 0.03
+
+
 def test_no_documents(spark, nothing):
     assert packing.op1_packed_pieces(spark, nothing).count() == 0
     assert op7_token_counts(spark, nothing).count() == 0
