@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,9 +37,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     kept = df.sparkSession.read.schema(df.schema).parquet(path)
     kept.stored_at = path
+    for made in _scopes[-1:]:
+        made.append(kept)
     return kept
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scope() -> Iterator[list[DataFrame]]:
+    """The tables that are stored within, for whoever knows when they have been read."""
+    made: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.remove(made)
+
+
 def removed(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing reads any more."""
     for df in tables:
