@@ -2,36 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tessera.sources.scratch import removed, scope, shared_path, stored
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where none is set (tests), a local one is made and set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-        root = spark.sparkContext.getCheckpointDir()
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends there and lost executors cost no recomputation."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["filesystem", "removed", "schema_of", "scope", "shared_path", "stored", "table"]
 
 
 def filesystem(path: str):
-    """(pyarrow filesystem, path in it) for a path or URI; used inside tasks to reach the shared folder."""
+    """(pyarrow filesystem, path in it) for a URI as Spark gives it; used inside tasks to reach the shared folder. ``file:`` alone is local, as is a path without a scheme."""
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))

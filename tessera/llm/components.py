@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import removed, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,9 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges, state = _written(edges)
     while True:
-        edges, now = _written(_small_star(_large_star(edges)))
+        before = edges
+        edges, now = _written(_small_star(_large_star(before)))
+        removed(before)
         if now == state:
             break
         state = now

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tessera.llm.common import filesystem, schema_of, stored, table
+from tessera.llm.common import filesystem, removed, schema_of, stored, table
 from tessera.llm.components import components
 from tessera.llm.shingles import distinct_shingles, mixed
 from tessera.llm.token_ids import slices
@@ -326,7 +326,9 @@ def star_links(pairs: DataFrame, heads: DataFrame, texts: Texts, width: int, per
     wanted = near.unionByName(near.select("pivot", "copy", F.col("pivot").alias("row")).distinct())
     full = texts.of(wanted.select("pivot", "copy", "row")).withColumn("_later", F.col("row") != F.col("pivot"))
     dealt = full.repartition("pivot", "copy").sortWithinPartitions("pivot", "copy", "_later").select("pivot", "copy", "row", "text")
-    return stored(dealt.mapInArrow(confirm, "a long, b long"), "links")
+    links = stored(dealt.mapInArrow(confirm, "a long, b long"), "links")
+    removed(near)
+    return links
 
 
 def _labelled(met: DataFrame, joined: DataFrame) -> DataFrame:
@@ -405,17 +407,21 @@ def rest_links(mixed_rows: DataFrame, heads: DataFrame, texts: Texts, width: int
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
 
     full = texts.of(chosen)
-    return stored(full.repartition("group").sortWithinPartitions("group", "side", "row").mapInArrow(confirm, "a long, b long"), "links")
+    links = stored(full.repartition("group").sortWithinPartitions("group", "side", "row").mapInArrow(confirm, "a long, b long"), "links")
+    removed(chosen)
+    return links
 
 
 def _roots(parents: DataFrame) -> DataFrame:
     """(node, component) of links (a, b) with one a, a smaller one, for each b: every node with the end of its path, by doubling its steps."""
-    ends = parents.select(F.col("b").alias("node"), F.col("a").alias("component"))
+    ends = parents_ = parents.select(F.col("b").alias("node"), F.col("a").alias("component"))
     while True:
         following = ends.select(F.col("node").alias("component"), F.col("component").alias("_end"))
         moved, seen = ends.join(following, "component", "left"), Observation()
         moved = moved.observe(seen, F.count("_end").alias("n")).select("node", F.coalesce("_end", "component").alias("component"))
-        ends = stored(moved, "ends")
+        before, ends = ends, stored(moved, "ends")
+        if before is not parents_:
+            removed(before)
         if not seen.get["n"]:
             break
     return ends.unionByName(ends.select(F.col("component").alias("node"), "component").distinct())
@@ -432,15 +438,18 @@ def near_components(signed: DataFrame, classes: DataFrame, width: int, percent:
     links = star_links(met.where("row <> pivot").select("row", "pivot", "docs"), heads, texts, width, percent)
     joined, turn, before = _roots(links), 0, None
     while True:
-        met = _labelled(met, joined)
+        whole, met = met, _labelled(met, joined)
+        removed(whole)
         n, pairs = met.agg(F.count("*"), F.sum(F.when(F.col("beside"), F.col("n_all")))).first()
         if not n:
+            removed(heads, texts.files, met)
             return joined
         if pairs <= _STAR_PAIRS * n or before and 2 * pairs > before:
             break
         links = links.unionByName(star_links(_more_stars(met, turn), heads, texts, width, percent))
         joined, turn, before = components(links), turn + 1, pairs
     more = rest_links(met, heads, texts, width, percent)
+    removed(heads, texts.files, met)
     if more.isEmpty():
         return joined
     wider = components(more)

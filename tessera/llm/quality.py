@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import schema_of, stored, table
+from tessera.llm.common import removed, schema_of, stored, table
 from tessera.llm.token_ids import slices
 
 _SYMBOLS = b"#*$%&|<>"
@@ -207,6 +207,7 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang")
         top = top.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= _COMMON)
     # Only ranked rows are joined, so that no task takes all words of a language.
     top = stored(top.join(large, "lang", "left_semi").select("lang", "kind", "item", "n"), "common")
+    removed(gathered)
     return LanguageReferences(top, max(1, ceil(top.where("kind = 'all'").count() / _BLOCK_LANGS)))
 
 
@@ -247,7 +248,8 @@ def judge(docs: DataFrame, refs: LanguageReferences, keep: tuple[str, ...], text
     base_failed: under 20 words, or over 30 % of them in repeated windows. kept: neither that, nor, with LEAST_WORDS
     words or more, a distance above its bound or less than LEAST_COMMON of the common words that its language has. A null text has no words and fails. Documents without
     a language, or of one without a reference, have distances 0. No shuffle: rows are judged where they are read, in one
-    pass for each block of references, which takes its languages' documents only.
+    pass for each block of references, which takes its languages' documents only. Repeated rows are judged alike, and an
+    empty table gives no rows.
     Kept columns must not be named like the results; other columns of docs may have any name.
     """
     counts = "".join(f"{n} long, " for n in COUNTS)

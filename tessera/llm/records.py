@@ -106,7 +106,8 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int, fi
 
     Null texts are empty, a null doc_id comes first, and rows of one doc_id follow the hash of their texts. The
     texts are dealt out by ranges of doc_id before they are encoded, so each is encoded once; rows with the same
-    id and text are dealt out by their place in the input, so repeated rows don't meet in one task.
+    id and text are dealt out by their place in the input, so repeated rows don't meet in one task. An empty table
+    gives an empty manifest. Columns beside these two may have any name.
     """
     columns = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = columns.withColumns({"_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})

@@ -144,7 +144,13 @@ def token_counter(path: str) -> TokenCounter:
 
 
 def count_tokens(df: DataFrame, text: str, vocabulary: str, name: str = "n_tokens") -> DataFrame:
-    """df's text column replaced by its token count (long); other columns stay. No shuffle: each batch is counted where it is read."""
+    """df's text column replaced by its token count (long); other columns stay. No shuffle: each batch is counted where it is read.
+
+    A null text is empty and has no tokens. Repeated rows are counted alike, and an empty table gives no rows. Other
+    columns may have any name but the result's, which is an error.
+    """
+    if name in df.columns and name != text:
+        raise ValueError(f"df has a column {name} already")
     at = df.columns.index(text)
     schema = schema_of(df, [c for c in df.columns if c != text], f"`{name}` long")
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -155,6 +156,50 @@ def test_small_languages_have_references_of_their_own(spark, monkeypatch, block)
     assert out == {k: k != 2002 for k, _, _ in rows} and refs.blocks == (2 if block == 1 else 1)
 
 
+def _plain_distance(p, q):
+    keys, np_, nq = set(p) | set(q), sum(p.values()), sum(q.values())
+    if not np_ or not nq:
+        return 0.0
+    out = 0.0
+    for k in keys:
+        a, b = p.get(k, 0) / np_, q.get(k, 0) / nq
+        out += sum(x * math.log2(x / ((a + b) / 2)) / 2 for x in (a, b) if x)
+    return math.sqrt(max(0.0, out))
+
+
+def _plain_classes(text):
+    names = {**dict.fromkeys(map(chr, range(97, 123)), "lower"), **dict.fromkeys(map(chr, range(65, 91)), "upper"), **dict.fromkeys("0123456789", "digit"), **dict.fromkeys(map(chr, [*range(32), 127]), "control"),
+             **dict.fromkeys(" \t\n\x0b\x0c\r", "space"), **dict.fromkeys(".,;:!?", "stop"), **dict.fromkeys("'\"()-", "mark"), **dict.fromkeys("#*$%&|<>", "symbol")}
+    return Counter(names.get(c, "other") if ord(c) < 128 else "latin" if ord(c) < 0x300 else "wide" for c in text)
+
+
+def test_distances_and_verdicts_equal_plain_ones(spark):
+    rng = random.Random(21)
+    tongues = {"en": ("the of and to in is that because without everything".split(), "etaoinshrdlu"), "ru": ("и в не на что который потому человек сегодня однако".split(), "оеаинтсрвлкм")}
+    rows = [(1000 * j + k, _prose(rng, *tongues[lang], rng.randint(30, 200)), lang) for j, lang in enumerate(tongues) for k in range(70)]
+    rows += [(5000 + k, " ".join(rng.choices(["x1#", "%%$", "THE", "Of", "zz"], k=80)), "en") for k in range(6)] + [(6000, _prose(rng, *tongues["ru"], 90), "en"), (6001, "A, B (c)! é" * 9, "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    lowered = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = {k: WORD.findall(x.translate(lowered)) for k, x, _ in rows}
+    refs = {}
+    for lang in {r[2] for r in rows}:
+        counts = Counter(w for k, _, of in rows if of == lang for w in words[k])
+        if sum(counts.values()) >= 5000:
+            top = dict(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:150])
+            refs[lang] = top, sum(counts.values()) - sum(top.values()), sum((_plain_classes(x) for _, x, of in rows if of == lang), Counter())
+    assert set(refs) == {"en", "ru"}
+    for r in quality.judge(docs, quality.language_references(docs), ("doc_id", "text", "lang")).collect():
+        kept, far, near = not r.base_failed, 0.0, 0.0
+        if r.lang in refs:
+            top, rest, classes = refs[r.lang]
+            own = Counter(w if w in top else None for w in words[r.doc_id])
+            far, near = _plain_distance(_plain_classes(r.text), classes), _plain_distance(own, {**top, None: rest})
+            common, expected = sum(n for w, n in own.items() if w), len(words[r.doc_id]) * sum(top.values()) / (sum(top.values()) + rest)
+            if r.n_words >= 50:
+                kept &= far <= 0.32 and near <= 0.55 and not (expected >= 16 and common < 0.5 * expected)
+        assert (r.class_distance, r.word_distance) == (pytest.approx(far, abs=1e-9), pytest.approx(near, abs=1e-9)) and r.kept == kept
+
+
 def test_distance():
     p, q = np.array([1.0, 0, 1]), np.array([0, 2.0, 0])
     assert quality.distance(p, p * 7) == 0 and quality.distance(p, q) == pytest.approx(1) and quality.distance(p, p * 0) == 0

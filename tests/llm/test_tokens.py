@@ -11,7 +11,7 @@ import pytest
 from tessera.llm import crc32c, packing, records
 from tessera.llm.common import shared_path
 from tessera.llm.records import op10_record_files
-from tessera.llm.token_counts import TokenCounter, op7_token_counts
+from tessera.llm.token_counts import TokenCounter, count_tokens, op7_token_counts
 from tessera.llm.token_ids import TokenIds, load_tokenizer, slices, vocabulary_path
 
 ALPHABET = list("abcAB'sSt12 \t\n\r\x0b\x0c\x1c\x85\xa0 éÉİςΣσǅ²Ⅷ#$%<|>.,-") + ["<|endoftext|>", "<|startoftext|>", "'ll", "'RE", "e\u0301", "\U0001f600", "aaaa", "the ", "a. ", "B,\n"]
@@ -75,6 +75,11 @@ def test_token_counts(spark, folder, odd_docs, library):
     assert got == want
 
 
+def test_a_clashing_name_is_refused(odd_docs):
+    with pytest.raises(ValueError, match="n_tokens"):
+        count_tokens(odd_docs, "text", vocabulary_path())
+
+
 def test_checksums():
     assert [hex(x) for x in crc32c.crc32c([b"123456789", b"", bytes(32)])] == ["0xe3069283", "0x0", "0x8a9136aa"]
     rng = np.random.default_rng(0)
