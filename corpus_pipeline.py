@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, table
+from tessera.llm.common import removed, scope, stored, table
 from tessera.llm.decontamination import without_leaks
 from tessera.llm.near_dup import without_near_duplicates
-from tessera.llm.packing import pack
+from tessera.llm.packing import MIXTURE_POWER, pack
 from tessera.llm.quality import judge, language_references
 from tessera.llm.secrets import redact_secrets
 
@@ -63,12 +63,12 @@ def secret_redaction(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 tokens, mixed as the sources' tokens are: one row per piece, with its ids.
+    """Sequences of 2048 tokens, mixed as op1 mixes them: one row per piece, with its ids.
 
     A null or blank text gives its end id alone; a null source is a queue of its own; repeated rows are packed as
     often as they occur; an empty table gives no pieces. Of the columns, doc_id and source go into the result.
     """
-    pieces = pack(docs, keep=("doc_id", "source"))
+    pieces = pack(docs, keep=("doc_id", "source"), power=MIXTURE_POWER)
     return pieces.withColumn("ids_crc32", F.crc32("ids").cast("long"))
 
 
@@ -85,8 +85,12 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents. Once a stage's rows are written, its input and the tables that it made on the way are removed."""
     docs = table(spark, sf_dir, "documents")
+    before = []
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scope() as made:
+            docs = stored(stage(spark, docs, sf_dir), name)
+        removed(*before, *(t for t in made if t is not docs))
+        before = [docs]
     return docs
