@@ -41,6 +41,9 @@ _SENSITIVE = re.compile(
 #: What stands before a value that is given to a name; there strings of letters alone are candidates too. Elsewhere they are long words.
 _GIVEN = re.compile(r"(?:[:=]\s*[\"'`]?|[\"'`])\Z")
 
+#: Generated strings have a long part between separators, with a digit in it or of letters that are given to a name, or are groups of hexadecimal digits; paths and file names have short parts.
+_PARTS, _DIGITS_IN, _LETTERS_IN, _HEX_GROUPS = re.compile(r"[/._-]+"), 10, 16, re.compile(r"[0-9A-Fa-f]{4,}(?:-[0-9A-Fa-f]{4,}){3,}")
+
 #: Characters of surroundings on either side, and the least share of a candidate's length that must be new. Generated strings cost 0.85 to 1.05 of it.
 _AROUND, _NOVEL = 256, 0.85
 
@@ -107,7 +110,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def novel_spans(text: str, dictionary: bytes | None = None) -> list[tuple[int, int, int]]:
-    """Candidates that hold a digit, or are letters given to a name, and are new to their surroundings and the dictionary; a base span may lie there too.
+    """Candidates with a long part that holds a digit, or of letters given to a name, that are new to their surroundings and the dictionary; a base span may lie there too.
 
     Bounds: a candidate has 16 characters of A-Z, a-z, 0-9 and +/_.- at least, and follows a sensitive word on its line within
     24 characters, or on the next line. Shorter strings, those farther off, and letters in running prose are not looked at.
@@ -116,7 +119,9 @@ def novel_spans(text: str, dictionary: bytes | None = None) -> list[tuple[int, i
     for m in _SENSITIVE.finditer(text):
         start, end = m.span(1)
         candidate = m[1]
-        if not re.search("[0-9]", candidate) and not (_GIVEN.search(text[max(0, start - 4) : start]) and re.search("[A-Za-z]", candidate)):
+        parts = _PARTS.split(candidate)
+        given = _GIVEN.search(text[max(0, start - 4) : start])
+        if not (any(len(x) >= _DIGITS_IN and re.search("[0-9]", x) or given and len(x) >= _LETTERS_IN for x in parts) or _HEX_GROUPS.fullmatch(candidate)):
             continue
         if marginal_bytes(text[max(0, start - _AROUND) : start], candidate, text[end : end + _AROUND], dictionary) >= _NOVEL * len(candidate):
             out.append((start, KINDS.index("novel"), end))
