@@ -232,18 +232,19 @@ def signatures(docs: DataFrame, doc_id: str, text: str, width: int, keep: tuple[
 
 
 class Texts:
-    """The texts of signatures, by row. The table's files hold rows in ascending order, and a row's upper bits tell its file's task.
+    """The texts of signatures, by row. The table's files hold rows in ascending order, and a row's upper bits tell the task that wrote its file.
 
     Rows that need their texts are sent to the files that hold these, one task a file, so that no other text leaves its file.
     """
 
     def __init__(self, signed: DataFrame):
-        self.files = stored(signed.select(F.shiftright("row", 33).alias("_task"), F.input_file_name().alias("_file")).distinct(), "files")
+        held = signed.select("row", F.input_file_name().alias("_file")).groupBy("_file").agg(F.min("row").alias("_low"), F.max("row").alias("_high"))
+        self.files = stored(held.withColumn("_task", F.shiftright("_low", 33)), "files")
 
     def of(self, wanted: DataFrame) -> DataFrame:
         """wanted, of which row is a column, with text."""
         names = wanted.columns
-        found = wanted.withColumn("_task", F.shiftright("row", 33)).join(self.files, "_task").select("row", "_file", *(c for c in names if c != "row"))
+        found = wanted.withColumn("_task", F.shiftright("row", 33)).join(self.files, "_task").where(F.col("row").between(F.col("_low"), F.col("_high"))).select("row", "_file", *(c for c in names if c != "row"))
 
         def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             path, reader = None, None

@@ -111,6 +111,19 @@ def test_work_on_near_copies_of_one_text_grows_in_proportion(spark, monkeypatch)
     assert written[600]["links"] < 2 * 600
 
 
+def test_texts_come_from_the_files_that_hold_them(spark):
+    rows = [(k, f"text {k} " * (k % 7) or None) for k in range(3000)]
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 400)
+    try:
+        signed = near_dup.stored(near_dup.signatures(spark.createDataFrame(rows, "id long, text string").repartition(3), "id", "text", 4), "signatures")
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    wanted = signed.where("doc % 11 = 3").select(F.lit(7).alias("x"), "row", "doc")
+    got = near_dup.Texts(signed).of(wanted.unionByName(wanted.where("doc < 500")))
+    assert got.columns == ["x", "row", "doc", "text"]
+    assert Counter((r.doc, r.text) for r in got.collect()) == Counter(r for r in rows for _ in range(1 + (r[0] < 500)) if r[0] % 11 == 3)
+
+
 def test_sql_gives_the_components(spark, tmp_path):
     import duckdb
 
